@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dupforge.llm import exact_dedup
+from dupforge.llm import exact_dedup, token_blocks
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op6_exact_dedup": exact_dedup.op6_exact_dedup}
+    return {
+        "op1_bpe_round_trip": token_blocks.op1_bpe_round_trip,
+        "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
