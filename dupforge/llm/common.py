@@ -5,12 +5,12 @@ from __future__ import annotations
 import math
 import os
 import string
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dupforge.scratch import Scratch  # noqa: F401
+
 #: ASCII white space, as the contracts' word pattern has it.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -19,36 +19,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a fresh local one where that is unset (tests, local mode)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found and (now := spark.sparkContext._jsc.sc().getCheckpointDir()).isDefined():
-        found = now.get()
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="dupforge-"))
-        found = spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return found
-
-
-class Scratch:
-    """Written tables that cut lineage. They lie in the shared folder, so a lost executor loses none of them."""
-
-    def __init__(self, spark: SparkSession, label: str):
-        self.spark, self.top = spark, f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.top}/{name}"
-        df.write.option("compression", "zstd").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, name: str) -> None:
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.top}/{name}")
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def fold_ascii(text: Column) -> Column:
     """Lower-cases A-Z and nothing else. For pure ASCII, lower() does that; elsewhere each letter is replaced, since lower() would also change letters such as É."""
     out = text

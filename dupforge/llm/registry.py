@@ -6,15 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dupforge.llm import exact_dedup, token_blocks
+from dupforge.llm import exact_dedup, packing, simhash, token_blocks
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe_round_trip": token_blocks.op1_bpe_round_trip,
+        "op5_packing": packing.op5_packing,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+        "op9_simhash_near_dedup": simhash.op9_simhash_near_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_dedup": exact_dedup.ORACLE}
+    return {
+        "op6_exact_dedup": exact_dedup.ORACLE,
+    }
