@@ -6,15 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dupforge.llm import exact_dedup, packing, simhash, token_blocks
+from dupforge.llm import exact_dedup, packing, quality, simhash, token_blocks, token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe_round_trip": token_blocks.op1_bpe_round_trip,
+        "op4_quality_rules": quality.op4_quality_rules,
         "op5_packing": packing.op5_packing,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
         "op9_simhash_near_dedup": simhash.op9_simhash_near_dedup,
+        "op10_token_counts": token_counts.op10_token_counts,
     }
 
 
