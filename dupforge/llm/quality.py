@@ -34,9 +34,8 @@ WINDOW = 5
 #: A line is frequent on a host beyond both: documents, and share of the host's documents.
 MIN_DOCS = 10
 MIN_SHARE = 0.005
-#: A document is depleted if fewer words are left than this many, or than this share of what it had.
-LEFT_WORDS = 10
-LEFT_SHARE = 0.2
+#: A document is depleted if less than this share of its words is left.
+LEFT_SHARE = 0.3
 
 SYMBOLS = "#*$%&|<>"
 DIGITS, SYMBOL = re.compile(rb"[0-9]+"), re.compile(rb"[#*$%&|<>]")
@@ -116,7 +115,7 @@ def _frequent(measured: DataFrame, min_docs: int, min_share: float) -> DataFrame
     return counted.join(hosts, "host").filter(F.col("docs") > min_share * F.col("host_docs")).select("host", "h")
 
 
-def assess(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE, left_words: int = LEFT_WORDS, left_share: float = LEFT_SHARE) -> tuple[DataFrame, DataFrame]:
+def assess(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE, left_share: float = LEFT_SHARE) -> tuple[DataFrame, DataFrame]:
     """The verdict on each row (doc_id, figures, n_frequent_words, base_failed, kept, row_id), and the frequent lines (host, h)."""
     scratch = Scratch(docs.sparkSession, "quality")
     measured = _measured(docs, host, scratch)
@@ -125,7 +124,7 @@ def assess(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, min_
     lost = scratch.save(lines.join(frequent, ["host", "h"]).groupBy("row_id").agg(F.sum("words").alias("lost")), "lost")
     n, lost_words = F.col("n_words"), F.coalesce("lost", F.lit(0))
     base = (n < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * n)
-    depleted = (lost_words > 0) & ((n - lost_words < left_words) | (n - lost_words < left_share * n))
+    depleted = (lost_words > 0) & (n - lost_words < left_share * n)
     rows = measured.drop("lines", "host").join(lost, "row_id", "left")
     return rows.select(*FIGURES.names, lost_words.alias("n_frequent_words"), base.alias("base_failed"), (~base & ~depleted).alias("kept"), "row_id"), frequent
 
