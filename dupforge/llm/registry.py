@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dupforge.llm import exact_dedup, packing, quality, simhash, token_blocks, token_counts
+from dupforge.llm import exact_dedup, packing, pii, quality, simhash, token_blocks, token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe_round_trip": token_blocks.op1_bpe_round_trip,
+        "op3_pii": pii.op3_pii,
         "op4_quality_rules": quality.op4_quality_rules,
         "op5_packing": packing.op5_packing,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
