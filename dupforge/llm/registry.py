@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dupforge.llm import exact_dedup, language, packing, pii, quality, simhash, token_blocks, token_counts
+from dupforge.llm import exact_dedup, language, packing, pii, quality, simhash, token_blocks, token_counts, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe_round_trip": token_blocks.op1_bpe_round_trip,
+        "op2_toxicity": toxicity.op2_toxicity,
         "op3_pii": pii.op3_pii,
         "op4_quality_rules": quality.op4_quality_rules,
         "op5_packing": packing.op5_packing,
