@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dupforge.llm import exact_dedup, language, packing, pii, quality, simhash, token_blocks, token_counts, toxicity
+from dupforge.llm import exact_dedup, language, line_dedup, packing, pii, quality, simhash, token_blocks, token_counts, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_quality_rules": quality.op4_quality_rules,
         "op5_packing": packing.op5_packing,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+        "op7_line_dedup": line_dedup.op7_line_dedup,
         "op8_language": language.op8_language,
         "op9_simhash_near_dedup": simhash.op9_simhash_near_dedup,
         "op10_token_counts": token_counts.op10_token_counts,
@@ -26,4 +27,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op6_exact_dedup": exact_dedup.ORACLE,
+        "op7_line_dedup": line_dedup.ORACLE,
     }
