@@ -27,6 +27,20 @@ def fold_ascii(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(out)
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """_row, the place in docs, and doc, all columns of docs: so no name that docs may have clashes with those of an operator."""
+    return docs.select(F.monotonically_increasing_id().alias("_row"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"))
+
+
+def with_text(docs: DataFrame, text: Column, changed: Column) -> list[Column]:
+    """The columns of docs, out of the struct doc, with another text; n_chars, if it is there, follows where the text has changed."""
+    out = {c: F.col(f"doc.`{c}`") for c in docs.columns}
+    out["text"] = F.when(changed, text).otherwise(out["text"])
+    if "n_chars" in out:
+        out["n_chars"] = F.when(changed, F.length(text)).otherwise(out["n_chars"]).cast(docs.schema["n_chars"].dataType)
+    return [v.alias(k) for k, v in out.items()]
+
+
 def levels(n: int) -> int:
     """How often n neighbours are halved until one is left."""
     return math.ceil(math.log2(n)) if n > 1 else 0

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dupforge.llm.common import Scratch, documents, fold_ascii, levels
+from dupforge.llm.common import Scratch, documents, fold_ascii, levels, numbered
 
 BLOCK_BYTES = 4096
 
@@ -76,23 +76,23 @@ def name_documents(docs: DataFrame, block_bytes: int = BLOCK_BYTES, digest_bits:
     return scratch.save(short.unionByName(info.filter(many).drop("first").join(done, "row_id").select(*short.columns)), "identities")
 
 
-def exact_groups(docs: DataFrame, block_bytes: int = BLOCK_BYTES, digest_bits: int = 128) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256 for every input row."""
+def _grouped(docs: DataFrame, block_bytes: int, digest_bits: int = 128) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "exact-dedup")
     named = name_documents(docs, block_bytes, digest_bits, scratch)
     key = ["n_bytes", "name"]
     groups = scratch.save(named.groupBy(*key).agg(F.count("*").alias("group_size"), F.max(F.struct("doc_id", "row_id")).alias("best")), "groups")
-    return named.join(groups, key).select("doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("row_id") == F.col("best.row_id")).alias("kept"), "text_sha256")
+    return named.join(groups, key).select("row_id", "doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("row_id") == F.col("best.row_id")).alias("kept"), "text_sha256")
+
+
+def exact_groups(docs: DataFrame, block_bytes: int = BLOCK_BYTES, digest_bits: int = 128) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256 for every input row."""
+    return _grouped(docs, block_bytes, digest_bits).drop("row_id")
 
 
 def drop_exact_copies(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of docs that stay, with their columns; docs is to be a table that reads alike each time. Rows that repeat a doc_id and a text are one document."""
-    groups = exact_groups(docs.select("doc_id", "text"), block_bytes)
-    keep = groups.filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    sha = F.sha2(F.coalesce(fold_ascii(F.col("text")), F.lit("")), 256)
-    # a doc_id may be there twice with different texts; among equal rows of one doc_id, one stays
-    once = docs.withColumn("_s", sha).dropDuplicates(["doc_id", "_s"])
-    return once.join(keep, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_s") == F.col("_sha")), "left_semi").drop("_s")
+    """The rows of docs that stay, with their columns. docs has to be a table that reads alike each time: rows are known by their places in it."""
+    keep = _grouped(docs, block_bytes).filter("kept").select(F.col("row_id").alias("_row"))
+    return numbered(docs).join(keep, "_row", "left_semi").select("doc.*")
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

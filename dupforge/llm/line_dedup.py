@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from dupforge.llm.common import WORD, Scratch, documents
+from dupforge.llm.common import WORD, Scratch, documents, numbered, with_text
 
 MIN_WORDS = 50
 BLANK = " \t\r\x0b\f"
@@ -121,11 +121,8 @@ def deleted_runs(deleted: DataFrame) -> DataFrame:
 def drop_repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """docs without the lines of repeated runs; texts that lose none stay as they are."""
     gone = repeated_lines(docs, min_words).groupBy("row_id").agg(F.collect_set("pos").alias("_gone"))  # lines of one document
-    left = F.filter(_split(F.col("text")), lambda x, i: ~F.array_contains("_gone", i))
-    out = _numbered(docs).join(gone, "row_id", "left").withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    left = F.array_join(F.filter(_split(F.col("doc.text")), lambda x, i: ~F.array_contains("_gone", i)), "\n")
+    return numbered(docs).join(gone, F.col("_row") == F.col("row_id"), "left").select(*with_text(docs, left, F.col("_gone").isNotNull()))
 
 
 def by_document(docs: DataFrame, min_words: int = MIN_WORDS, digest_bits: int = 128) -> DataFrame:

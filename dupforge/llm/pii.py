@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dupforge.llm.common import documents
+from dupforge.llm.common import documents, numbered, with_text
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "iban", "ssn", "local_phone")
@@ -130,26 +130,27 @@ def _order(spans: Column) -> Column:
 
 
 def detect(docs: DataFrame) -> DataFrame:
-    """docs and a column spans: array of kind, start, end, score, in order."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    found = docs.withColumns({f"_{kind}": _spans(text, kind) for kind in KINDS})
-    return found.withColumn("spans", _order(F.concat(*(F.col(f"_{kind}") for kind in KINDS)))).drop(*(f"_{kind}" for kind in KINDS))
+    """docs and a column spans, in place of one that docs may have: array of kind, start, end, score, in order."""
+    return _detected(docs).select(*(F.col(f"doc.`{c}`") for c in docs.columns if c != "spans"), "spans")
+
+
+def _detected(docs: DataFrame) -> DataFrame:
+    """doc, all columns of docs, and spans."""
+    text = F.coalesce(F.col("doc.text"), F.lit(""))
+    return numbered(docs).select("doc", *(_spans(text, kind).alias(kind) for kind in KINDS)).select("doc", _order(F.concat(*KINDS)).alias("spans"))
 
 
 def redact(docs: DataFrame) -> DataFrame:
     """docs with each span of personal data replaced by its kind in angle brackets, and n_chars, if it is there, counted anew. Where spans overlap, the first one's kind stands for all they cover."""
-    found = detect(docs.withColumn("_text", F.col("text"))).withColumnRenamed("spans", "_spans")
-    text = F.col("_text")
+    text = F.col("doc.text")
 
     def cover(state: Column, s: Column) -> Column:
         new = F.concat(state["out"], F.when(s["start"] >= state["at"], F.concat(F.substring(text, state["at"] + 1, s["start"] - state["at"]), F.lit("<"), F.upper(s["kind"]), F.lit(">"))).otherwise(""))
         return F.struct(F.greatest(state["at"], s["end"]).alias("at"), new.alias("out"))
 
-    covered = F.aggregate("_spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), cover, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
-    out = found.withColumn("text", F.when(F.size("_spans") > 0, covered).otherwise(text))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("_spans") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    covered = F.aggregate("spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), cover, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
+    rows = _detected(docs).withColumn("_covered", covered)
+    return rows.select(*with_text(docs, F.col("_covered"), F.size("spans") > 0))
 
 
 def digests(docs: DataFrame) -> DataFrame:

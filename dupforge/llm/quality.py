@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dupforge.llm.common import Scratch, documents
+from dupforge.llm.common import Scratch, documents, numbered, with_text
 
 MIN_WORDS = 10
 MAX_REPEATED_PERCENT = 20
@@ -88,7 +88,7 @@ def line_hashes(text: bytes) -> list[dict]:
 
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([*FIGURES, ("host", pa.string()), ("lines", LINES)])
+    schema = pa.schema([("row_id", pa.int64()), *FIGURES, ("host", pa.string()), ("lines", LINES)])
     for batch in batches:
         for at in range(0, batch.num_rows, 1024):
             part, rows, lines = batch.slice(at, 1024), [], []
@@ -97,13 +97,13 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 rows.append((doc_id.as_py(), *figures(data)))
                 lines.append(line_hashes(data))
             columns = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)]
-            yield pa.RecordBatch.from_arrays([*columns, part.column("host"), pa.array(lines, LINES)], schema=schema)
+            yield pa.RecordBatch.from_arrays([part.column("row_id"), *columns, part.column("host"), pa.array(lines, LINES)], schema=schema)
 
 
 def _measured(docs: DataFrame, host: str, scratch: Scratch) -> DataFrame:
-    schema = ", ".join(f"{f.name} long" for f in FIGURES) + ", host string, lines array<struct<h: long, words: long, rest: long>>"
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"))
-    return scratch.save(rows.mapInArrow(_measure, schema).withColumn("row_id", F.monotonically_increasing_id()), "measured")
+    schema = "row_id long, " + ", ".join(f"{f.name} long" for f in FIGURES) + ", host string, lines array<struct<h: long, words: long, rest: long>>"
+    rows = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"))
+    return scratch.save(rows.mapInArrow(_measure, schema), "measured")
 
 
 def _frequent(measured: DataFrame, min_docs: int, min_share: float) -> DataFrame:
@@ -115,45 +115,34 @@ def _frequent(measured: DataFrame, min_docs: int, min_share: float) -> DataFrame
     return counted.join(hosts, "host").filter(F.col("docs") > min_share * F.col("host_docs")).select("host", "h")
 
 
-def assess(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE, left_share: float = LEFT_SHARE) -> tuple[DataFrame, DataFrame]:
-    """The verdict on each row (doc_id, figures, n_frequent_words, base_failed, kept, row_id), and the frequent lines (host, h)."""
+def assess(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE, left_share: float = LEFT_SHARE) -> DataFrame:
+    """For each row of docs: doc_id, figures, n_frequent_words, base_failed, kept, row_id (the place in docs), and in frequent the hashes of its frequent lines (null: none)."""
     scratch = Scratch(docs.sparkSession, "quality")
     measured = _measured(docs, host, scratch)
     frequent = scratch.save(_frequent(measured, min_docs, min_share), "frequent")
     lines = measured.select("row_id", "host", F.explode("lines").alias("l")).select("row_id", "host", "l.h", "l.words")
-    lost = scratch.save(lines.join(frequent, ["host", "h"]).groupBy("row_id").agg(F.sum("words").alias("lost")), "lost")
+    lost = lines.join(frequent, ["host", "h"]).groupBy("row_id").agg(F.sum("words").alias("lost"), F.collect_list("h").alias("frequent"))  # lines of one document
     n, lost_words = F.col("n_words"), F.coalesce("lost", F.lit(0))
     base = (n < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * n)
     depleted = (lost_words > 0) & (n - lost_words < left_share * n)
-    rows = measured.drop("lines", "host").join(lost, "row_id", "left")
-    return rows.select(*FIGURES.names, lost_words.alias("n_frequent_words"), base.alias("base_failed"), (~base & ~depleted).alias("kept"), "row_id"), frequent
+    rows = measured.drop("lines", "host").join(scratch.save(lost, "lost"), "row_id", "left")
+    return rows.select(*FIGURES.names, lost_words.alias("n_frequent_words"), base.alias("base_failed"), (~base & ~depleted).alias("kept"), "row_id", "frequent")
+
+
+def without_lines(text: str, hashes: list[int]) -> str:
+    gone = {*hashes}
+    return "\n".join(x for x in text.split("\n") if _hash(normalised(x.encode())) not in gone)
 
 
 def clean(docs: DataFrame, host: str = "source", **limits) -> DataFrame:
-    """The documents that are kept, with their columns, without their frequent lines. docs is to be a table that reads alike each time; rows that repeat a doc_id have one verdict, kept if any of them is."""
-    verdicts, frequent = assess(docs, host, **limits)
-    keep = verdicts.filter("kept").select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_semi")
-    cut = verdicts.filter("kept and n_frequent_words > 0").select(F.col("doc_id").alias("_id")).distinct()
-    if frequent.isEmpty():
-        return kept
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id"))
-    hit, whole = kept.join(cut, same, "left_semi"), kept.join(cut, same, "left_anti")
-    return whole.unionByName(_without(hit, frequent, host))
-
-
-def _without(docs: DataFrame, frequent: DataFrame, host: str) -> DataFrame:
-    """Texts, line by line: each keeps the lines that aren't frequent on its host."""
-    hashed = F.udf(lambda lines: [_hash(normalised(x.encode())) for x in lines or []], "array<long>", useArrow=True)
-    rows = docs.withColumn("_row", F.monotonically_increasing_id()).withColumn("_lines", F.split("text", "\\n"))
-    lines = rows.select("_row", F.coalesce(F.col(host).cast("string"), F.lit("")).alias("_host"), F.posexplode(F.arrays_zip(F.col("_lines").alias("t"), hashed("_lines").alias("h"))).alias("pos", "l"))
-    gone = lines.join(frequent, (lines["_host"] == frequent["host"]) & (F.col("l.h") == frequent["h"]), "left_semi").groupBy("_row").agg(F.collect_set("pos").alias("_gone"))
-    left = F.expr("array_join(filter(_lines, (x, i) -> NOT array_contains(_gone, i)), '\\n')")
-    out = rows.join(gone, "_row", "left").withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(left))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    """The rows of docs that are kept, with their columns, without their frequent lines. docs has to be a table that reads alike each time: rows are known by their places in it."""
+    kept = assess(docs, host, **limits).filter("kept").select(F.col("row_id").alias("_row"), F.col("frequent").alias("_gone"))
+    cut = F.udf(lambda text, gone: None if text is None else without_lines(text, gone), "string", useArrow=True)
+    some = F.col("_gone").isNotNull()
+    # only texts that lose lines go to Python
+    rows = numbered(docs).join(kept, "_row").withColumn("_cut", cut(F.when(some, F.col("doc.text")), "_gone"))
+    return rows.select(*with_text(docs, F.col("_cut"), some))
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return assess(documents(spark, sf_dir))[0].drop("row_id")
+    return assess(documents(spark, sf_dir)).drop("row_id", "frequent")

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dupforge.llm.common import Scratch, documents
+from dupforge.llm.common import Scratch, documents, numbered
 from dupforge.operators.components import components
 
 SHINGLE = 3
@@ -57,12 +57,13 @@ def _fingerprints(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[p
     for batch in batches:
         texts = pc.cast(batch.column("text"), pa.binary())
         fps = np.fromiter((fingerprint(x.as_py() or b"", shingle) for x in texts), np.uint64, len(texts))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column("row_id"), batch.column("doc_id"), pa.array(fps.view(np.int64))], names=["row_id", "doc_id", "fp"])
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, fp (the 64 bits as a long) for each row of docs."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lambda b: _fingerprints(b, shingle), "doc_id long, fp long")
+    """row_id (the place in docs), doc_id, fp (the 64 bits as a long) for each row of docs."""
+    rows = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return rows.mapInArrow(lambda b: _fingerprints(b, shingle), "row_id long, doc_id long, fp long")
 
 
 def forest(fps: np.ndarray, radius: int = RADIUS, rows: int = 128) -> np.ndarray:
@@ -180,7 +181,7 @@ def links(distinct: DataFrame, scratch: Scratch, radius: int = RADIUS, block: in
 
 
 def near_groups(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, block: int = BLOCK, largest_block: int = LARGEST_BLOCK) -> DataFrame:
-    """doc_id, fp, component_id (the least doc_id of the group) for each row of docs."""
+    """row_id, doc_id, fp, component_id (the least doc_id of the group) for each row of docs."""
     scratch = Scratch(docs.sparkSession, "simhash")
     fps = scratch.save(fingerprints(docs, shingle), "fingerprints")
     distinct = scratch.save(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
@@ -189,14 +190,15 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, b
     least = scratch.save(linked.groupBy("component").agg(F.min("least").alias("of_group")), "groups")
     of_linked = linked.join(least, "component").select("fp", "of_group")
     classes = scratch.save(distinct.join(of_linked, "fp", "left").select("fp", F.coalesce("of_group", "least").alias("component_id")), "classes")
-    return fps.join(classes, "fp").select("doc_id", "fp", "component_id")
+    return fps.join(classes, "fp").select("row_id", "doc_id", "fp", "component_id")
 
 
 def drop_near_copies(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """The rows of docs that stay: of each group the document with the least doc_id, once. docs is to be a table that reads alike each time. Rows without doc_id stay."""
-    keep = near_groups(docs.select("doc_id", "text"), shingle, radius).filter("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
-    known = docs.filter("doc_id is not null").dropDuplicates(["doc_id"])
-    return known.join(keep, F.col("doc_id") == F.col("_id"), "left_semi").unionByName(docs.filter("doc_id is null"))
+    """The rows of docs that stay, with their columns: of each group the document with the least doc_id, once. Rows without doc_id stay. docs has to be a table that reads alike each time: rows are known by their places in it."""
+    groups = near_groups(docs, shingle, radius)
+    least = groups.filter("doc_id = component_id").groupBy("doc_id").agg(F.min("row_id").alias("_row")).select("_row")
+    keep = least.unionByName(groups.filter("doc_id is null").select(F.col("row_id").alias("_row")))
+    return numbered(docs).join(keep, "_row", "left_semi").select("doc.*")
 
 
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
