@@ -7,6 +7,7 @@ import os
 import string
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from dupforge.scratch import Scratch  # noqa: F401
@@ -41,6 +42,13 @@ def with_text(docs: DataFrame, text: Column, changed: Column) -> list[Column]:
     return [v.alias(k) for k, v in out.items()]
 
 
+def lowest(rows: DataFrame, by: str, n: int, salts: int = 64) -> DataFrame:
+    """The n rows of each value of by whose h is lowest. rows: doc_id, h. The first pass deals each value to several tasks, so no task gets more than salts * n of them."""
+    nth = lambda *keys: F.row_number().over(W.partitionBy(*keys).orderBy("h", "doc_id"))
+    some = rows.withColumn("salt", F.pmod("h", F.lit(salts))).withColumn("nth", nth(by, "salt")).filter(F.col("nth") <= n)
+    return some.withColumn("nth", nth(by)).filter(F.col("nth") <= n).drop("salt", "nth")
+
+
 def levels(n: int) -> int:
     """How often n neighbours are halved until one is left."""
     return math.ceil(math.log2(n)) if n > 1 else 0

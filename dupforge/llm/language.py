@@ -24,10 +24,9 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from dupforge.llm.common import documents
+from dupforge.llm.common import documents, lowest
 
 TRAIN_DOCS, TRAIN_CHARS = 400, 20_000
 BUCKETS = 1 << 16
@@ -205,10 +204,9 @@ def fold(docs_id: Column, n: int) -> Column:
 
 def train(docs: DataFrame, train_docs: int = TRAIN_DOCS, train_chars: int = TRAIN_CHARS, text: str = "text", lang: str = "lang") -> Crf:
     """docs: rows to learn from. First the rows are chosen, without their texts; then those texts are read."""
-    nth = F.row_number().over(W.partitionBy("lang").orderBy("h", "doc_id"))
     docs = docs.select("doc_id", F.col(text).alias("text"), F.col(lang).alias("lang"))
     labelled = docs.filter(F.col("lang").isNotNull()).select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
-    chosen = labelled.withColumn("nth", nth).filter(F.col("nth") <= train_docs).select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang")).distinct()
+    chosen = lowest(labelled, "lang", train_docs).select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang")).distinct()
     same = (docs["doc_id"] == F.col("_id")) & (docs["lang"] == F.col("_lang"))
     rows = docs.join(chosen, same).filter(F.length("text") <= train_chars).select("doc_id", "text", F.col("_lang").alias("lang")).collect()  # train_docs a language
     rows.sort(key=lambda r: (str(r["lang"]), str(r["doc_id"]), r["text"]))
