@@ -14,6 +14,7 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from dupforge.functions import fixed
 
@@ -52,7 +53,7 @@ NUMERIC_STEM = r"^0*([0-9]{1,6})$"
 FROM_NAME, FROM_FOLDER, FROM_NOWHERE = "文件名", "上级影片目录", "上级目录不足"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _fold_unicode(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x).strip().casefold())
 
