@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from dupforge.llm.common import documents, lowest
 
 TRAIN_DOCS, TRAIN_CHARS = 400, 20_000
+#: The choice of rows to learn from has TRAIN_DOCS * MAX_LANGS rows at most, so it is broadcast.
+MAX_LANGS = 256
 BUCKETS = 1 << 16
 SEGMENT = 24
 STEPS, BATCH, RATE = 250, 192, 0.3
@@ -206,9 +208,9 @@ def train(docs: DataFrame, train_docs: int = TRAIN_DOCS, train_chars: int = TRAI
     """docs: rows to learn from. First the rows are chosen, without their texts; then those texts are read."""
     docs = docs.select("doc_id", F.col(text).alias("text"), F.col(lang).alias("lang"))
     labelled = docs.filter(F.col("lang").isNotNull()).select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
-    chosen = lowest(labelled, "lang", train_docs).select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang")).distinct()
+    chosen = lowest(labelled, "lang", train_docs).orderBy("h", "lang").limit(train_docs * MAX_LANGS).select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang")).distinct()
     same = (docs["doc_id"] == F.col("_id")) & (docs["lang"] == F.col("_lang"))
-    rows = docs.join(chosen, same).filter(F.length("text") <= train_chars).select("doc_id", "text", F.col("_lang").alias("lang")).collect()  # train_docs a language
+    rows = docs.join(F.broadcast(chosen), same).filter(F.length("text") <= train_chars).select("doc_id", "text", F.col("_lang").alias("lang")).collect()  # train_docs a language
     rows.sort(key=lambda r: (str(r["lang"]), str(r["doc_id"]), r["text"]))
     return fit([r["text"] for r in rows], [r["lang"] for r in rows])
 
