@@ -478,10 +478,10 @@ def estimated_savings(spark, d):
     return quality.savings(_films(spark, d)).drop("duration_span")
 
 
-@query("guessed_height", f"SELECT p_partkey, {_HEIGHT} AS height, CASE p_size % 4 WHEN 0 THEN '约 1080P（文件名）' WHEN 1 THEN '约 720P（文件名）' ELSE '未知' END AS resolution FROM part")
+@query("guessed_height", f"SELECT p_partkey, coalesce({_HEIGHT}, 0) AS height, CASE p_size % 4 WHEN 0 THEN '约 1080P（文件名）' WHEN 1 THEN '约 720P（文件名）' ELSE '未知' END AS resolution FROM part")
 def guessed_height(spark, d):
     guess, none = labels.guessed_height(F.col("name")), F.lit(None).cast("int")
-    return tables.part_titles(spark, d).select("p_partkey", guess.alias("height"), labels.resolution(none, none, guess).alias("resolution"))
+    return tables.part_titles(spark, d).select("p_partkey", F.coalesce(guess, F.lit(0)).alias("height"), labels.resolution(none, none, guess).alias("resolution"))
 
 
 @query("display_name", f"""WITH {TITLES}, t AS (SELECT p_name, p_partkey, array_to_string(tokens, ' ') AS shown FROM titles) SELECT p_name AS "group", arg_min(shown, (length(shown), p_partkey)) AS display_name FROM t GROUP BY p_name""")
