@@ -6,9 +6,9 @@ from dataclasses import dataclass, field
 
 import numpy as np
 
-#: The linear program ends when its padding is below this share of the tokens, or after so many pivots for each length.
+#: The linear program ends when its padding is below this share of the tokens, or after so many pivots (as many as there are lengths, if those are more).
 GAP = 5e-4
-PIVOTS = 1
+PIVOTS = 1200
 #: Patterns that pad more than this share aren't used; their documents are cut.
 WASTE = 0.01
 
@@ -120,7 +120,7 @@ def patterns(lengths: np.ndarray, demand: np.ndarray, capacity: int) -> list[tup
     inverse = np.linalg.inv(matrix)
     powers = [1 << k for k in range(capacity.bit_length()) if 1 << k <= capacity]
     pivots = 0
-    while pivots < PIVOTS * n and costs @ x > tokens * (1 + GAP):
+    while pivots < max(PIVOTS, n) and costs @ x > tokens * (1 + GAP):
         dual = costs @ inverse
         best, last = _knapsack(dual, lengths, capacity)
         # the best filling of each power of two, of any size, and beside each length
