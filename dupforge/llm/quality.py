@@ -6,9 +6,10 @@ documents with a line are counted, over all rows. A line is frequent if more tha
 more than min_share of them. Frequent lines are removed; a document that has lost nearly all of its words by that is depleted
 and rejected.
 
-Copies of one document count once: documents that have a line are told apart by the least hash of their other lines, which
-copies and near copies share. So a text that is there a thousand times isn't boilerplate, and all of its copies are kept;
-dropping copies is for the dedup operators.
+Copies of one document count once: documents that have a line are told apart by the least hash of the word pairs in their other
+lines, which near copies mostly share. A line is frequent only if there are MIN_VARIETY times as many documents so told apart as
+there are different texts with it: the lines of a text that is there a thousand times, with a few words changed each time, aren't
+boilerplate, and such copies are kept; dropping them is for the dedup operators.
 
 Defined results: null text has no words (and so fails the base rule); null hosts are one host; a text without a line over is
 never depleted by lines; rows that repeat give rows that repeat; extra columns are ignored; an empty table gives an empty table.
@@ -34,6 +35,7 @@ WINDOW = 5
 #: A line is frequent on a host beyond both: documents, and share of the host's documents.
 MIN_DOCS = 10
 MIN_SHARE = 0.005
+MIN_VARIETY = 0.5
 #: A document is depleted if less than this share of its words is left.
 LEFT_SHARE = 0.3
 
@@ -76,56 +78,69 @@ def figures(text: bytes) -> tuple[int, int, int, int, int]:
     return len(words), chars, len(SYMBOL.findall(text)), len(lines) - len({*lines}), repeated_words(words)
 
 
-def line_hashes(text: bytes) -> list[dict]:
-    """Each distinct normalised line: hash, words in all of its occurrences, and the least hash of the document's other lines (0: none)."""
+def least_pair(words: list[bytes]) -> int:
+    """The least hash of two words that stand together, or of a word alone."""
+    return min(map(_hash, map(b" ".join, zip(words, words[1:], strict=False)))) if len(words) > 1 else _hash(words[0])
+
+
+def line_hashes(text: bytes) -> tuple[list[dict], int]:
+    """Each distinct normalised line: hash, words in all of its occurrences, and the least pair of the document's other lines (0: none). Then a hash of all lines."""
     words: dict[int, int] = {}
+    pairs: dict[int, int] = {}
     for line in text.split(b"\n"):
-        if n := len(line.split()):
-            h = _hash(normalised(line))
-            words[h] = words.get(h, 0) + n
-    low = sorted(words)[:2]
-    return [{"h": h, "words": n, "rest": (low[0] if h != low[0] else low[1]) if len(low) > 1 else 0} for h, n in words.items()]
+        if line.strip():
+            plain = normalised(line)
+            h, parts = _hash(plain), plain.split(b" ")
+            words[h] = words.get(h, 0) + len(parts)
+            if h not in pairs:
+                pairs[h] = least_pair(parts)
+    low = sorted(pairs, key=pairs.get)[:2]
+    rest = [pairs[h] for h in low] + [0, 0]
+    return [{"h": h, "words": n, "rest": rest[1] if h == low[0] else rest[0]} for h, n in words.items()], _hash(b"".join(h.to_bytes(8, "little", signed=True) for h in words))
 
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("row_id", pa.int64()), *FIGURES, ("host", pa.string()), ("lines", LINES)])
+    schema = pa.schema([("row_id", pa.int64()), *FIGURES, ("host", pa.string()), ("lines", LINES), ("lines_id", pa.int64())])
     for batch in batches:
         for at in range(0, batch.num_rows, 1024):
-            part, rows, lines = batch.slice(at, 1024), [], []
+            part, rows, lines, ids = batch.slice(at, 1024), [], [], []
             for doc_id, text in zip(part.column("doc_id"), part.column("text"), strict=True):
                 data = (text.as_py() or "").encode()
                 rows.append((doc_id.as_py(), *figures(data)))
-                lines.append(line_hashes(data))
+                found, lines_id = line_hashes(data)
+                lines.append(found)
+                ids.append(lines_id)
             columns = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)]
-            yield pa.RecordBatch.from_arrays([part.column("row_id"), *columns, part.column("host"), pa.array(lines, LINES)], schema=schema)
+            yield pa.RecordBatch.from_arrays([part.column("row_id"), *columns, part.column("host"), pa.array(lines, LINES), pa.array(ids, pa.int64())], schema=schema)
 
 
 def _measured(docs: DataFrame, host: str, scratch: Scratch) -> DataFrame:
-    schema = "row_id long, " + ", ".join(f"{f.name} long" for f in FIGURES) + ", host string, lines array<struct<h: long, words: long, rest: long>>"
+    schema = "row_id long, " + ", ".join(f"{f.name} long" for f in FIGURES) + ", host string, lines array<struct<h: long, words: long, rest: long>>, lines_id long"
     rows = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"))
     return scratch.save(rows.mapInArrow(_measure, schema), "measured")
 
 
-def _frequent(measured: DataFrame, min_docs: int, min_share: float) -> DataFrame:
+def _frequent(measured: DataFrame, min_docs: int, min_share: float, min_variety: float) -> DataFrame:
     """host, h of the frequent lines."""
     hosts = measured.groupBy("host").agg(F.count("*").alias("host_docs"))
-    seen = measured.select("host", F.explode("lines").alias("l")).select("host", "l.h", "l.rest")
-    # three steps, so that neither a host nor a line is brought to one task: equal rows, documents, then their number
-    counted = seen.groupBy("host", "h", "rest").agg(F.lit(1).alias("one")).groupBy("host", "h").agg(F.count("*").alias("docs")).filter(F.col("docs") > min_docs)
+    seen = measured.select("host", "lines_id", F.explode("lines").alias("l")).select("host", "l.h", "l.rest", "lines_id")
+    # step by step, so that neither a host nor a line is brought to one task: different texts, then documents, then their numbers
+    texts = seen.distinct().groupBy("host", "h", "rest").agg(F.count("*").alias("texts"))
+    counted = texts.groupBy("host", "h").agg(F.count("*").alias("docs"), F.sum("texts").alias("texts")).filter((F.col("docs") > min_docs) & (F.col("docs") >= min_variety * F.col("texts")))
     return counted.join(hosts, "host").filter(F.col("docs") > min_share * F.col("host_docs")).select("host", "h")
 
 
-def assess(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE, left_share: float = LEFT_SHARE) -> DataFrame:
+def assess(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE, min_variety: float = MIN_VARIETY, left_share: float = LEFT_SHARE) -> DataFrame:
     """For each row of docs: doc_id, figures, n_frequent_words, base_failed, kept, row_id (the place in docs), and in frequent the hashes of its frequent lines (null: none)."""
     scratch = Scratch(docs.sparkSession, "quality")
     measured = _measured(docs, host, scratch)
-    frequent = scratch.save(_frequent(measured, min_docs, min_share), "frequent")
+    frequent = scratch.save(_frequent(measured, min_docs, min_share, min_variety), "frequent")
     lines = measured.select("row_id", "host", F.explode("lines").alias("l")).select("row_id", "host", "l.h", "l.words")
     lost = lines.join(frequent, ["host", "h"]).groupBy("row_id").agg(F.sum("words").alias("lost"), F.collect_list("h").alias("frequent"))  # lines of one document
     n, lost_words = F.col("n_words"), F.coalesce("lost", F.lit(0))
     base = (n < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * n)
     depleted = (lost_words > 0) & (n - lost_words < left_share * n)
-    rows = measured.drop("lines", "host").join(scratch.save(lost, "lost"), "row_id", "left")
+    rows = measured.drop("lines", "lines_id", "host").join(scratch.save(lost, "lost"), "row_id", "left")
     return rows.select(*FIGURES.names, lost_words.alias("n_frequent_words"), base.alias("base_failed"), (~base & ~depleted).alias("kept"), "row_id", "frequent")
 
 

@@ -20,20 +20,25 @@ def figures(t):
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), dup, len(covered)
 
 
-def by_hand(rows, min_docs, min_share, left_share):
+def by_hand(rows, min_docs, min_share, left_share, min_variety=Q.MIN_VARIETY):
     norm = lambda x: Q._hash(Q.normalised(x.encode()))
-    lines = [[(norm(x), len(x.encode().split())) for x in (r["text"] or "").split("\n") if x.encode().split()] for r in rows]
+    lines = [[x for x in (r["text"] or "").split("\n") if x.encode().split()] for r in rows]
     hosts = Counter(r["source"] or "" for r in rows)
-    seen = defaultdict(set)
+    docs, texts = defaultdict(set), defaultdict(set)
     for r, ls in zip(rows, lines, strict=True):
-        hs = {h for h, _ in ls}
-        for h in hs:
-            seen[r["source"] or "", h].add(min(hs - {h}, default=0))
-    frequent = {k for k, v in seen.items() if len(v) > min_docs and len(v) > min_share * hosts[k[0]]}
+        least = {}
+        for x in ls:
+            w = Q.normalised(x.encode()).split()
+            least[norm(x)] = min(Q._hash(b" ".join(p)) for p in (zip(w, w[1:], strict=False) if len(w) > 1 else [w]))
+        for h in least:
+            key = (r["source"] or "", h)
+            docs[key].add(min((v for k, v in least.items() if k != h), default=0))
+            texts[key].add(tuple(least))
+    frequent = {k for k, v in docs.items() if len(v) > min_docs and len(v) > min_share * hosts[k[0]] and len(v) >= min_variety * len(texts[k])}
     out = []
     for r, ls in zip(rows, lines, strict=True):
         n, chars, symbols, dup, repeat = figures(r["text"] or "")
-        lost = sum(w for h, w in ls if (r["source"] or "", h) in frequent)
+        lost = sum(len(x.encode().split()) for x in ls if (r["source"] or "", norm(x)) in frequent)
         base = n < 10 or 100 * repeat > 20 * n
         out.append((r["doc_id"], n, chars, symbols, dup, repeat, lost, base, not base and not (lost and n - lost < left_share * n)))
     return out
@@ -57,3 +62,16 @@ def test_lines_go_and_copies_stay(spark):
     assert {*out} == {*range(20), *range(100, 130)}
     assert out[3]["text"] == f"{body(3)}\n{body(53)}" and out[3]["n_chars"] == len(out[3]["text"]) and out[3]["_row"] == "kept as it is"
     assert out[101]["text"] == rows[20][1] and out[101]["n_chars"] == 0
+
+
+def test_near_copies_stay(spark):
+    words = [f"{a}{b}{c}" for a in "bdfgk" for b in "aeiou" for c in "lmnrst"]
+    base = [words[k * 7 % 150] for k in range(150)]
+    rows = []
+    for k in range(300):
+        w = list(base)
+        w[k * 13 % 150] = "changed" + "abcdefghij"[k % 10] + "klmnopqrst"[k // 10 % 10]
+        rows.append((k, "\n".join(" ".join(w[j : j + 30]) for j in range(0, 150, 30)), "h"))
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = Q.assess(df)
+    assert out.filter("kept").count() == 300 and out.filter("n_frequent_words > 0").count() == 0
