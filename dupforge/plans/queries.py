@@ -12,7 +12,7 @@ from dupforge.functions import names as N
 from dupforge.operators import blocking, clusters, components, content, filters, merge, planning, quality, report, scopes, scoring
 from dupforge.plans.pipeline import find_duplicates, indexed
 from dupforge.scratch import Scratch
-from dupforge.sources import tables
+from dupforge.sources import media, settings, tables
 from dupforge.sources.directory import first_root
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -608,6 +608,41 @@ def report_roundtrip_parse(spark, d):
     return p.filter("problem is null").select("path", "size", "mtime", "time_precision", F.round("confidence", 6).alias("confidence"), "match_kind")
 
 
+@query("media_metadata_shared", f"""WITH {DOCS}, p AS (SELECT *, min(path) OVER (PARTITION BY h) AS probed, doc_id % 9 <> 0 AS ok FROM docs), q AS (SELECT p.path, p.probed, b.ok, b.doc_id AS k FROM p JOIN p b ON p.probed = b.path)
+  SELECT path, CASE WHEN NOT ok THEN '{media.FAILED}' WHEN path = probed THEN '{media.PROBED}' ELSE '{media.SHARED}' END AS metadata_source, CASE WHEN ok THEN k % 1000 + 1 ELSE 0 END AS width, CASE WHEN ok THEN k + 0.5 END AS duration_seconds FROM q""")
+def media_metadata_shared(spark, d):
+    files = tables.doc_files(spark, d).select("doc_id", "path", F.md5("content").alias("content_md5"))
+    k = F.col("doc_id").cast("string")
+    payload = F.concat(F.lit('{"streams": [{"width": '), (F.col("doc_id") % 1000 + 1).cast("string"), F.lit(', "height": 9, "codec_name": "x"}], "format": {"duration": "'), k, F.lit('.5"}}'))
+    table = files.select("path", F.when(F.col("doc_id") % 9 != 0, payload).alias("payload"))
+    return media.with_metadata(files, table=table).select("path", "metadata_source", F.coalesce("width", F.lit(0)).alias("width"), "duration_seconds")
+
+
+@query("drive_roots", "SELECT p_partkey, array_to_string(list_transform(list_filter(range(26), lambda i: (p_partkey >> i) & 1 = 1), lambda i: chr((65 + i)::INT) || ':' || chr(92)), ' ') AS drives FROM part")
+def drive_roots(spark, d):
+    return tables.table(spark, d, "part").select("p_partkey", F.array_join(settings.drive_roots(F.col("p_partkey")), " ").alias("drives"))
+
+
+@query("duration_span", f"""WITH {ASSESSED} SELECT p_name AS "group", CASE WHEN count(d) >= 2 THEN max(d) - min(d) END AS duration_span FROM x GROUP BY p_name""")
+def duration_span(spark, d):
+    return quality.savings(_films(spark, d)).select("group", "duration_span")
+
+
+@query("part_labels", "SELECT l_orderkey, l_linenumber, CASE l_linenumber % 4 WHEN 0 THEN '第 ' || l_linenumber || ' 段' WHEN 1 THEN 'A 段' WHEN 2 THEN '光盘段 VTS01-02' ELSE '未标分段' END AS label FROM lineitem")
+def part_labels(spark, d):
+    n = F.col("l_linenumber")
+    marker = F.when(n % 4 == 0, F.concat(F.lit("part"), n.cast("string"))).when(n % 4 == 1, "segment:A").when(n % 4 == 2, "disc:vts01-02")
+    return tables.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", labels.part_label(marker).alias("label"))
+
+
+@query("file_information")
+def file_information(spark, d):
+    films = N.with_name_info(_films(spark, d).withColumn("stem", N.stem(F.col("name"))), "stem")
+    members = films.withColumns({"action": F.lit(fixed.UNDECIDED), "hash_source": F.lit(fixed.HASH_FULL), "same_md5": F.lit(1), "width": F.lit(None).cast("int"), "height": F.lit(None).cast("int"), "codec": F.lit("h264"), "state": F.lit("")}).drop("match_kind")
+    groups = films.select("group").distinct().withColumns({"display_name": F.col("group"), "confidence": F.lit(0.96), "reason": F.lit(""), "metadata_note": F.lit(""), "safety_warning": F.lit(False)})
+    return report.information(members, groups)
+
+
 @query("find_duplicates_summary")
 def find_duplicates_summary(spark, d):
     return find_duplicates(tables.doc_files(spark, d)).summary
