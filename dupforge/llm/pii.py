@@ -7,8 +7,9 @@ code points, end exclusive. All of it is Column expressions; no Python runs on t
 The patterns here find what the plain ones of the base find, in time that grows with the text: they start at the beginning of a
 run of letters or digits only (or where the last match ended), and take runs possessively.
 
-Positions are sums of the lengths of what lies between matches. They are taken by folding over a text's matches, so a text with
-very many of them (tens of thousands) takes time that grows with their square; texts with few or none take none.
+Positions are running sums of the lengths of matches and of what lies between them; words nearby are looked for between a match
+and its neighbours. Running sums are folded in chunks (scan()), so that a text of nothing but addresses takes time that grows with
+its length too.
 
 Defined results: null text is empty and has no spans; rows that repeat give rows that repeat; a null doc_id stays null; extra
 columns are ignored; an empty table gives an empty table.
@@ -16,6 +17,8 @@ columns are ignored; an empty table gives an empty table.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,7 +57,31 @@ FITS = {
 }
 UNFIT = r"\b(?:version|release|order|invoice|serial|isbn|issn|doi|build|article|ticket)\b"
 
-_SPAN = "struct<kind: string, start: int, end: int, score: double>"
+_SPAN = "struct<kind: string, start: int, end: int, score: double, from: int, to: int>"  # from and to count bytes
+CHUNK = 512
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value worked out once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def scan(items: Column, zero: Column, step: Callable[[Column, Column], tuple[Column, Column]], kind: str) -> Column:
+    """The elements that step(state, item) gives beside its next state, in order. Spark's arrays are copied at each append, so
+    they are filled chunk by chunk. items isn't empty."""
+    none = F.array().cast(f"array<{kind}>")
+
+    def one(st: Column, item: Column) -> Column:
+        return let(F.struct(st["s"].alias("s"), item.alias("x")), lambda v: _step(v, st))
+
+    def _step(v: Column, st: Column) -> Column:
+        state, made = step(v["s"], v["x"])
+        return F.struct(state.alias("s"), F.concat(st["out"], F.array(made.cast(kind))).alias("out"))
+
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / CHUNK).cast("int")), lambda j: F.slice(items, j * CHUNK + 1, F.lit(CHUNK)))
+    inner = lambda st, chunk: F.aggregate(chunk, F.struct(st["s"].alias("s"), none.alias("out")), one)
+    outer = lambda st, chunk: let(inner(st, chunk), lambda r: F.struct(r["s"].alias("s"), F.concat(st["out"], F.array(r["out"])).alias("out")))
+    return F.flatten(F.aggregate(chunks, F.struct(zero.alias("s"), F.array().cast(f"array<array<{kind}>>").alias("out")), outer)["out"])
 
 
 def _digits(match: Column) -> Column:
@@ -92,30 +119,34 @@ def _valid(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
+_AT = "struct<c: int, b: int>"
+_FOUND = "struct<m: string, near: string, start: int, from: int>"
+
+
 def _spans(text: Column, kind: str) -> Column:
-    """array of kind, start, end, score."""
+    """array of kind, start, end, score, from, to."""
     pattern = PATTERNS[kind]
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     none = F.array().cast(f"array<{_SPAN}>")
-    # a match and what lies before it
-    pairs = F.arrays_zip(matches.alias("m"), F.slice(F.split(text, pattern, -1), F.lit(1), F.size(matches)).alias("gap"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<m: string, start: int>>").alias("found"))
 
-    def move(state: Column, pair: Column) -> Column:
-        at = state["at"] + F.length(pair["gap"])
-        return F.struct((at + F.length(pair["m"])).alias("at"), F.concat(state["found"], F.array(F.struct(pair["m"].alias("m"), at.alias("start")))).alias("found"))
+    def found(gaps: Column) -> Column:
+        """Matches with the gap before each and the words around it."""
+        near = lambda i: F.lower(F.concat(F.right(F.get(gaps, i), F.lit(NEARBY)), F.lit(" "), F.left(F.coalesce(F.get(gaps, i + 1), F.lit("")), F.lit(NEARBY))))
+        gap = lambda i: F.get(gaps, i)
+        return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m, i: F.struct(m.alias("m"), near(i).alias("near"), F.length(gap(i)).alias("c"), F.octet_length(gap(i)).alias("b")))
 
-    found = F.aggregate(pairs, start, move, lambda state: state["found"])
-    found = F.filter(found, lambda x: _valid(kind, x["m"]))
+    def move(at: Column, x: Column) -> tuple[Column, Column]:
+        start, begin = at["c"] + x["c"], at["b"] + x["b"]
+        return F.struct((start + F.length(x["m"])).alias("c"), (begin + F.octet_length(x["m"])).alias("b")).cast(_AT), F.struct(x["m"].alias("m"), x["near"].alias("near"), start.alias("start"), begin.alias("from"))
 
     def scored(x: Column) -> Column:
-        end = x["start"] + F.length(x["m"])
-        begin = F.greatest(x["start"] - NEARBY, F.lit(0))
-        near = F.lower(F.concat(F.substring(text, begin + 1, x["start"] - begin), F.lit(" "), F.substring(text, end + 1, F.lit(NEARBY))))
-        score = F.lit(SCORES[kind]) + F.when(near.rlike(FITS[kind]), FITTING).otherwise(0.0) - F.when(near.rlike(UNFIT), UNFITTING).otherwise(0.0)
-        return F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), end.alias("end"), F.round(F.least(F.greatest(score, F.lit(0.0)), F.lit(1.0)), 2).alias("score"))
-
-    spans = F.transform(found, scored)
+        score = F.lit(SCORES[kind]) + F.when(x["near"].rlike(FITS[kind]), FITTING).otherwise(0.0) - F.when(x["near"].rlike(UNFIT), UNFITTING).otherwise(0.0)
+        score = F.round(F.least(F.greatest(score, F.lit(0.0)), F.lit(1.0)), 2)
+        end, to = x["start"] + F.length(x["m"]), x["from"] + F.octet_length(x["m"])
+        return F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), end.alias("end"), score.alias("score"), x["from"].alias("from"), to.alias("to")).cast(_SPAN)
+
+    zero = F.struct(F.lit(0).alias("c"), F.lit(0).alias("b")).cast(_AT)
+    placed = let(let(F.split(text, pattern, -1), found), lambda items: scan(items, zero, move, _FOUND))
+    spans = F.transform(F.filter(placed, lambda x: _valid(kind, x["m"])), scored)
     if kind not in BASE:
         spans = F.filter(spans, lambda s: s["score"] >= THRESHOLD)
     there = text.rlike(pattern) if kind not in NEEDS else F.contains(text, F.lit(NEEDS[kind])) & text.rlike(pattern)
@@ -125,13 +156,14 @@ def _spans(text: Column, kind: str) -> Column:
 def _order(spans: Column) -> Column:
     """By start, then kind as listed, then end."""
     place = lambda s: F.array_position(F.array(*map(F.lit, KINDS)), s["kind"])
-    keyed = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), place(s).alias("place"), s["end"].alias("end"), s["score"].alias("score"), s["kind"].alias("kind")))
-    return F.transform(F.array_sort(keyed), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["score"].alias("score")))
+    keyed = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), place(s).alias("place"), s["end"].alias("end"), s.alias("s")))
+    return F.transform(F.array_sort(keyed), lambda k: k["s"])
 
 
 def detect(docs: DataFrame) -> DataFrame:
     """docs and a column spans, in place of one that docs may have: array of kind, start, end, score, in order."""
-    return _detected(docs).select(*(F.col(f"doc.`{c}`") for c in docs.columns if c != "spans"), "spans")
+    spans = F.transform("spans", lambda s: F.struct(*(s[f].alias(f) for f in ("kind", "start", "end", "score"))))
+    return _detected(docs).select(*(F.col(f"doc.`{c}`") for c in docs.columns if c != "spans"), spans.alias("spans"))
 
 
 def _detected(docs: DataFrame) -> DataFrame:
@@ -142,13 +174,15 @@ def _detected(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame) -> DataFrame:
     """docs with each span of personal data replaced by its kind in angle brackets, and n_chars, if it is there, counted anew. Where spans overlap, the first one's kind stands for all they cover."""
-    text = F.col("doc.text")
+    data = F.col("doc.text").cast("binary")
+    piece = lambda at, end: F.substring(data, at + 1, F.greatest(end - at, F.lit(0))).cast("string")
 
-    def cover(state: Column, s: Column) -> Column:
-        new = F.concat(state["out"], F.when(s["start"] >= state["at"], F.concat(F.substring(text, state["at"] + 1, s["start"] - state["at"]), F.lit("<"), F.upper(s["kind"]), F.lit(">"))).otherwise(""))
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), new.alias("out"))
+    def cover(at: Column, s: Column) -> tuple[Column, Column]:
+        tag = F.when(s["from"] >= at, F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">"))).otherwise("")
+        return F.greatest(at, s["to"]), F.concat(piece(at, s["from"]), tag)
 
-    covered = F.aggregate("spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), cover, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
+    last = F.array_max(F.transform("spans", lambda s: s["to"]))
+    covered = F.when(F.size("spans") > 0, F.concat(F.array_join(scan(F.col("spans"), F.lit(0), cover, "string"), ""), piece(last, F.octet_length(data))))
     rows = _detected(docs).withColumn("_covered", covered)
     return rows.select(*with_text(docs, F.col("_covered"), F.size("spans") > 0))
 

@@ -41,6 +41,8 @@ def test_long_runs_take_no_time(spark):
     rows = [(1, "9" * 200_000), (2, "a" * 100_000 + "@" + "b" * 100_000), (3, "1 " * 100_000), (4, "1." * 100_000), (5, "+" + "1" * 100_000), (6, "DE89 " * 30_000)]
     got = pii.digests(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert all(r["n_email"] == r["n_card"] == r["n_phone"] == 0 for r in got)
+    many = spark.createDataFrame([(1, "É a@b.co " * 20_000)], "doc_id long, text string")
+    assert pii.digests(many).first()["n_email"] == 20_000 and pii.redact(many).first()["text"] == "É <EMAIL> " * 20_000
 
 
 def test_added_kinds_ask_for_checks_and_context(spark):
