@@ -1,8 +1,10 @@
 """Exact duplicates by content: size buckets, then a fingerprint of three spans, then the MD5 of all, each only where the step before
 found company.
 
-With the content in a column all of this is DataFrame operations; files on disk are read by read_fingerprints() and read_md5().
-Buckets are counted with partial aggregates and joined back, so a size that a third of all files share is spread over tasks.
+With the content in a column all of this is DataFrame operations: contents are read once, hashed where they are read, and never
+shuffled; what the steps decide is which hashes count. Files on disk are read by read_fingerprints() and read_md5(), the latter only
+where it is needed. Buckets are counted with partial aggregates and written before they are joined back, so that adaptive execution
+can split a size that a third of all files share.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from pyspark.sql import types as T
 
 from dupforge.functions import fixed
 from dupforge.operators.scopes import group_aggregates, group_allowed, partition_key
+from dupforge.scratch import Scratch
 
 OFF, SMART, DEEP = MODES = ("off", "smart", "deep")
 READ_BYTES = 4 << 20
@@ -50,7 +53,8 @@ def keyed_groups(files: DataFrame, keys: list[str], scope: str) -> DataFrame:
 
 def members(files: DataFrame, keys: list[str], scope: str) -> DataFrame:
     """Files of such groups."""
-    return files.withColumn("part", partition_key(scope)).join(keyed_groups(files, keys, scope).drop("n_files"), [*keys, "part"], "left_semi")
+    groups = Scratch(files.sparkSession, "members").save(keyed_groups(files, keys, scope).drop("n_files"), "groups")
+    return files.withColumn("part", partition_key(scope)).join(groups, [*keys, "part"], "left_semi")
 
 
 def size_buckets(files: DataFrame, scope: str = "all") -> DataFrame:
@@ -90,19 +94,22 @@ def blake2_of_content(content: pd.Series, size: pd.Series) -> pd.Series:
 
 
 def with_hashes(files: DataFrame, mode: str = SMART, scope: str = "all", quick: Column | None = None) -> DataFrame:
-    """files (with content) and quick, content_md5, hash_source. smart: the MD5 only where fingerprints agree; deep: of all candidates."""
+    """files without content, and quick, content_md5, hash_source. smart: the MD5 only where fingerprints agree; deep: of all candidates."""
     if checked(mode) == OFF:
-        return files.withColumns({"quick": F.lit(None).cast("string"), "content_md5": F.lit(None).cast("string"), "hash_source": F.lit(fixed.HASH_NONE)})
-    rows = files.withColumn("part", partition_key(scope))
-    buckets = size_buckets(files, scope).select("size", "part", F.lit(True).alias("same_size"))
+        return files.drop("content").withColumns({"quick": F.lit(None).cast("string"), "content_md5": F.lit(None).cast("string"), "hash_source": F.lit(fixed.HASH_NONE)})
+    scratch = Scratch(files.sparkSession, "hashes")
+    made = files.withColumns({"part": partition_key(scope), "_quick": quick if quick is not None else quick_of_content(F.col("content"), F.col("size")), "_md5": F.md5(F.col("content").cast("binary"))})
+    rows = scratch.save(made.drop("content"), "hashed")
+    groups = lambda r, *keys: r.groupBy(*keys, "part").agg(*group_aggregates()).filter(group_allowed(scope)).select(*keys, "part")
+    buckets = scratch.save(groups(rows, "size").withColumn("same_size", F.lit(True)), "sizes")
     rows = rows.join(buckets, ["size", "part"], "left")
-    rows = rows.withColumn("quick", F.when(F.col("same_size"), quick if quick is not None else quick_of_content(F.col("content"), F.col("size"))))
-    alike = rows.filter("quick is not null").groupBy("size", "quick", "part").agg(*group_aggregates()).filter(group_allowed(scope)).select("size", "quick", "part", F.lit(True).alias("same_quick"))
-    rows = rows.join(alike, ["size", "quick", "part"], "left")
-    small = F.col("size") <= 3 * fixed.SAMPLE_BYTES
-    wanted = F.col("quick").isNotNull() & (F.coalesce("same_quick", F.lit(False)) | small | F.lit(mode == DEEP))
-    source = F.when(F.col("quick").isNull(), fixed.HASH_NONE).when(small, fixed.HASH_SMALL).when(wanted, fixed.HASH_FULL).otherwise(fixed.HASH_DIFFERENT)
-    return rows.withColumns({"content_md5": F.when(wanted, F.md5(F.col("content").cast("binary"))), "hash_source": source}).drop("same_size", "same_quick", "part")
+    alike = scratch.save(groups(rows.filter("same_size"), "size", "_quick").withColumn("same_quick", F.lit(True)), "fingerprints")
+    rows = rows.join(alike, ["size", "_quick", "part"], "left")
+    candidate, small = F.coalesce("same_size", F.lit(False)), F.col("size") <= 3 * fixed.SAMPLE_BYTES
+    wanted = candidate & (F.coalesce("same_quick", F.lit(False)) | small | F.lit(mode == DEEP))
+    source = F.when(~candidate, fixed.HASH_NONE).when(small, fixed.HASH_SMALL).when(wanted, fixed.HASH_FULL).otherwise(fixed.HASH_DIFFERENT)
+    out = {"quick": F.when(candidate, F.col("_quick")), "content_md5": F.when(wanted, F.col("_md5")), "hash_source": source}
+    return rows.withColumns(out).drop("same_size", "same_quick", "part", "_quick", "_md5")
 
 
 def exact_groups(hashed: DataFrame, scope: str = "all") -> DataFrame:
@@ -193,17 +200,19 @@ def exact_duplicates_on_disk(files: DataFrame, mode: str = SMART, scope: str = "
     """files that are candidates, with quick, content_md5, hash_source, error. Fingerprints are read before the cache is believed."""
     if checked(mode) == OFF:
         return files.limit(0).withColumns({c: F.lit(None).cast("string") for c in ("quick", "content_md5", "hash_source", "error")})
-    some = members(files, ["size"], scope)
-    rows = some.join(read_fingerprints(some), "path")
+    scratch = Scratch(files.sparkSession, "hashes")
+    some = scratch.save(members(files, ["size"], scope), "candidates")
+    rows = scratch.save(some.join(read_fingerprints(some), "path"), "fingerprints")  # files are read once
     rows = cached(rows, cache) if cache is not None else rows.withColumn("cached_md5", F.lit(None).cast("string"))
-    small = F.col("md5").isNotNull()
+    small = F.col("size") <= 3 * fixed.SAMPLE_BYTES
     alike = rows.filter("error is null").groupBy("size", "quick", "part").agg(*group_aggregates()).filter(group_allowed(scope)).select("size", "quick", "part", F.lit(True).alias("same"))
     rows = rows.join(alike, ["size", "quick", "part"], "left")
     wanted = F.col("error").isNull() & ~small & F.col("cached_md5").isNull() & (F.coalesce("same", F.lit(False)) | F.lit(mode == DEEP))
-    full = read_md5(rows.filter(wanted)).select("path", F.col("md5").alias("full_md5"), F.col("error").alias("full_error"))
+    rows = scratch.save(rows.withColumn("wanted", wanted), "judged")
+    full = scratch.save(read_md5(rows.filter("wanted")).select("path", F.col("md5").alias("full_md5"), F.col("error").alias("full_error")), "full")
     rows = rows.join(full, "path", "left").withColumn("error", F.coalesce("error", "full_error"))
     source = F.when(F.col("error").isNotNull(), fixed.HASH_FAILED).when(small, fixed.HASH_SMALL).when(F.col("cached_md5").isNotNull(), fixed.HASH_CACHED).when(F.col("full_md5").isNotNull(), fixed.HASH_FULL).otherwise(fixed.HASH_DIFFERENT)
-    return rows.withColumns({"content_md5": F.coalesce("md5", "cached_md5", "full_md5"), "hash_source": source}).drop("md5", "cached_md5", "full_md5", "full_error", "same", "part")
+    return rows.withColumns({"content_md5": F.coalesce("md5", "cached_md5", "full_md5"), "hash_source": source}).drop("md5", "cached_md5", "full_md5", "full_error", "same", "part", "wanted")
 
 
 def with_relation(members_: DataFrame) -> DataFrame:

@@ -40,7 +40,7 @@ def find_duplicates(files: DataFrame, threshold: float = clusters.THRESHOLD, sco
     for c, kind in (("width", "int"), ("height", "int"), ("duration_seconds", "double")):
         if c not in files.columns:
             files = files.withColumn(c, F.lit(None).cast(kind))
-    rows = scratch.save(content.with_hashes(indexed(with_path_info(files)), mode, scope).drop("content"), "files")
+    rows = scratch.save(indexed(with_path_info(content.with_hashes(files, mode, scope))), "files")
     spark = rows.sparkSession
     if by_name:
         name_groups, name_members = clusters.name_groups(rows, threshold, scope)
