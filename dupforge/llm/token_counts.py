@@ -21,10 +21,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from dupforge.llm.byte_tokens import TOKENIZER, encoder
-from dupforge.llm.common import documents
+from dupforge.llm.common import Scratch, documents
 
 #: Lengths whose suffix sums one task takes.
-BUCKET = 4096
+BUCKET = 64
 
 
 def _lengths(batches: Iterator[pa.RecordBatch], tokenizer: str) -> Iterator[pa.RecordBatch]:
@@ -40,7 +40,8 @@ def _lengths(batches: Iterator[pa.RecordBatch], tokenizer: str) -> Iterator[pa.R
 
 def histogram(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     """n_tokens, n_docs: how many documents have as many tokens."""
-    return docs.select("text").mapInArrow(lambda b: _lengths(b, tokenizer), "n_tokens long, n long").groupBy("n_tokens").agg(F.sum("n").alias("n_docs"))
+    counts = docs.select("text").mapInArrow(lambda b: _lengths(b, tokenizer), "n_tokens long, n long").groupBy("n_tokens").agg(F.sum("n").alias("n_docs"))
+    return Scratch(docs.sparkSession, "token-counts").save(counts, "histogram")  # it is read several times, and texts are encoded once
 
 
 def with_suffix_sums(counts: DataFrame, bucket: int = BUCKET) -> DataFrame:
