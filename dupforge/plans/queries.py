@@ -491,7 +491,7 @@ def display_name(spark, d):
 
 
 ASSESSED = f"""{RANKED}, x AS (
-  SELECT *, CASE WHEN p_size % 7 <> 0 THEN 3600.0 + (p_partkey % 1000) * 0.5 END AS d, CASE p_size % 5 WHEN 0 THEN 2160 WHEN 1 THEN 720 END AS mh, CASE WHEN length(p_name) % 3 = 0 THEN 'hash' ELSE 'name' END AS kind,
+  SELECT *, CASE WHEN p_size % 7 <> 0 THEN (3600.0 + (p_partkey % 1000) * 0.5)::DOUBLE END AS d, CASE p_size % 5 WHEN 0 THEN 2160 WHEN 1 THEN 720 END AS mh, CASE WHEN length(p_name) % 3 = 0 THEN 'hash' ELSE 'name' END AS kind,
     CASE WHEN length(p_name) % 2 = 0 THEN p_name ELSE p_partkey::VARCHAR END AS m FROM r),
 g AS (SELECT p_name, any_value(kind) AS kind, min(d) AS d0, max(d) AS d1, count(d) AS dn, min(mh) AS h0, max(mh) AS h1, count(mh) AS hn, count(DISTINCT m) AS ms FROM x GROUP BY p_name),
 a AS (SELECT *, kind = 'hash' AND ms = 1 AS same, dn >= 2 AND d1 - d0 <= greatest(8.0, d0 * 0.01) AS close, dn >= 2 AND d1 - d0 > greatest(30.0, d0 * 0.03) AS far FROM g),
@@ -609,7 +609,7 @@ def report_roundtrip_parse(spark, d):
 
 
 @query("media_metadata_shared", f"""WITH {DOCS}, p AS (SELECT *, min(path) OVER (PARTITION BY h) AS probed, doc_id % 9 <> 0 AS ok FROM docs), q AS (SELECT p.path, p.probed, b.ok, b.doc_id AS k FROM p JOIN p b ON p.probed = b.path)
-  SELECT path, CASE WHEN NOT ok THEN '{media.FAILED}' WHEN path = probed THEN '{media.PROBED}' ELSE '{media.SHARED}' END AS metadata_source, CASE WHEN ok THEN k % 1000 + 1 ELSE 0 END AS width, CASE WHEN ok THEN k + 0.5 END AS duration_seconds FROM q""")
+  SELECT path, CASE WHEN NOT ok THEN '{media.FAILED}' WHEN path = probed THEN '{media.PROBED}' ELSE '{media.SHARED}' END AS metadata_source, CASE WHEN ok THEN k % 1000 + 1 ELSE 0 END AS width, CASE WHEN ok THEN (k + 0.5)::DOUBLE END AS duration_seconds FROM q""")
 def media_metadata_shared(spark, d):
     files = tables.doc_files(spark, d).select("doc_id", "path", F.md5("content").alias("content_md5"))
     k = F.col("doc_id").cast("string")
