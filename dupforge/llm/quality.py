@@ -6,10 +6,11 @@ documents with a line are counted, over all rows. A line is frequent if more tha
 more than min_share of them. Frequent lines are removed; a document that has lost nearly all of its words by that is depleted
 and rejected.
 
-Copies of one document count once: documents that have a line are told apart by the least hash of the word pairs in their other
-lines, which near copies mostly share. A line is frequent only if there are MIN_VARIETY times as many documents so told apart as
-there are different texts with it: the lines of a text that is there a thousand times, with a few words changed each time, aren't
-boilerplate, and such copies are kept; dropping them is for the dedup operators.
+Copies of one document count once. Equal texts do, and so do near copies: the lines of a text that is there a thousand times, with
+a few words changed each time, aren't boilerplate, and such copies are kept; dropping them is for the dedup operators. What tells
+texts apart is their own lines, all of those that aren't in more than the limit of different texts themselves. A text counts if
+over MIN_VARIETY of the word windows in its own lines are new: in no shared line, and in no own line of a text before it. So of near copies one counts, however many there are, and a template counts once for each document written around it,
+however long it is. Texts of nothing but shared lines are told apart by the least shared of them.
 
 Defined results: null text has no words (and so fails the base rule); null hosts are one host; a text without a line over is
 never depleted by lines; rows that repeat give rows that repeat; extra columns are ignored; an empty table gives an empty table.
@@ -35,14 +36,18 @@ WINDOW = 5
 #: A line is frequent on a host beyond both: documents, and share of the host's documents.
 MIN_DOCS = 10
 MIN_SHARE = 0.005
+#: A text counts as another document if more than this share of its own windows is new.
 MIN_VARIETY = 0.5
+#: Windows by which own lines are compared: words in each, and how many of a line, those with the least hashes.
+OWN_WINDOW = 3
+OWN_WINDOWS = 16
 #: A document is depleted if less than this share of its words is left.
 LEFT_SHARE = 0.3
 
 SYMBOLS = "#*$%&|<>"
 DIGITS, SYMBOL = re.compile(rb"[0-9]+"), re.compile(rb"[#*$%&|<>]")
 FIGURES = pa.schema([(k, pa.int64()) for k in ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")])
-LINES = pa.list_(pa.struct([("h", pa.int64()), ("words", pa.int64()), ("rest", pa.int64())]))
+LINES = pa.list_(pa.struct([("h", pa.int64()), ("words", pa.int64()), ("windows", pa.list_(pa.int64()))]))
 
 
 def _hash(line: bytes) -> int:
@@ -78,25 +83,27 @@ def figures(text: bytes) -> tuple[int, int, int, int, int]:
     return len(words), chars, len(SYMBOL.findall(text)), len(lines) - len({*lines}), repeated_words(words)
 
 
-def least_pair(words: list[bytes]) -> int:
-    """The least hash of two words that stand together, or of a word alone."""
-    return min(map(_hash, map(b" ".join, zip(words, words[1:], strict=False)))) if len(words) > 1 else _hash(words[0])
+def least_windows(words: list[bytes]) -> list[int]:
+    """The least hashes of windows of a line, or of the line if it is shorter."""
+    windows = zip(*(words[k:] for k in range(OWN_WINDOW)), strict=False) if len(words) > OWN_WINDOW else [words]
+    return sorted({_hash(b" ".join(w)) for w in windows})[:OWN_WINDOWS]
 
 
 def line_hashes(text: bytes) -> tuple[list[dict], int]:
-    """Each distinct normalised line: hash, words in all of its occurrences, and the least pair of the document's other lines (0: none). Then a hash of all lines."""
-    words: dict[int, int] = {}
-    pairs: dict[int, int] = {}
+    """Each distinct normalised line: hash, words in all of its occurrences, and those of its least windows that no line before it has. Then a hash of all lines."""
+    lines: dict[int, dict] = {}
+    listed: set[int] = set()
     for line in text.split(b"\n"):
         if line.strip():
             plain = normalised(line)
             h, parts = _hash(plain), plain.split(b" ")
-            words[h] = words.get(h, 0) + len(parts)
-            if h not in pairs:
-                pairs[h] = least_pair(parts)
-    low = sorted(pairs, key=pairs.get)[:2]
-    rest = [pairs[h] for h in low] + [0, 0]
-    return [{"h": h, "words": n, "rest": rest[1] if h == low[0] else rest[0]} for h, n in words.items()], _hash(b"".join(h.to_bytes(8, "little", signed=True) for h in words))
+            if h in lines:
+                lines[h]["words"] += len(parts)
+            else:
+                windows = [w for w in least_windows(parts) if w not in listed]
+                listed.update(windows)
+                lines[h] = {"h": h, "words": len(parts), "windows": windows}
+    return [*lines.values()], _hash(b"".join(h.to_bytes(8, "little", signed=True) for h in lines))
 
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,26 +122,41 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _measured(docs: DataFrame, host: str, scratch: Scratch) -> DataFrame:
-    schema = "row_id long, " + ", ".join(f"{f.name} long" for f in FIGURES) + ", host string, lines array<struct<h: long, words: long, rest: long>>, lines_id long"
+    schema = "row_id long, " + ", ".join(f"{f.name} long" for f in FIGURES) + ", host string, lines array<struct<h: long, words: long, windows: array<long>>>, lines_id long"
     rows = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"))
     return scratch.save(rows.mapInArrow(_measure, schema), "measured")
 
 
-def _frequent(measured: DataFrame, min_docs: int, min_share: float, min_variety: float) -> DataFrame:
+def _frequent(measured: DataFrame, scratch: Scratch, min_docs: int, min_share: float, min_variety: float) -> DataFrame:
     """host, h of the frequent lines."""
-    hosts = measured.groupBy("host").agg(F.count("*").alias("host_docs"))
-    seen = measured.select("host", "lines_id", F.explode("lines").alias("l")).select("host", "l.h", "l.rest", "lines_id")
-    # step by step, so that neither a host nor a line is brought to one task: different texts, then documents, then their numbers
-    texts = seen.distinct().groupBy("host", "h", "rest").agg(F.count("*").alias("texts"))
-    counted = texts.groupBy("host", "h").agg(F.count("*").alias("docs"), F.sum("texts").alias("texts")).filter((F.col("docs") > min_docs) & (F.col("docs") >= min_variety * F.col("texts")))
-    return counted.join(hosts, "host").filter(F.col("docs") > min_share * F.col("host_docs")).select("host", "h")
+    hosts = measured.groupBy("host").agg(F.count("*").alias("host_docs")).select("host", F.greatest(F.lit(min_docs), min_share * F.col("host_docs")).alias("limit"))
+    # step by step, so that neither a host nor a line is brought to one task: different texts, then their numbers
+    texts = measured.select("host", "lines_id", F.explode("lines.h").alias("h")).distinct().groupBy("host", "h").agg(F.count("*").alias("texts"))
+    shared = scratch.save(texts.join(hosts, "host").filter(F.col("texts") > F.col("limit")).select("host", "h", "texts"), "shared")
+    sizes = F.transform("lines", lambda x: F.struct(x["h"].alias("h"), F.size(x["windows"]).alias("n")))
+    lines = measured.select("row_id", "host", "lines_id", F.explode(sizes).alias("l")).select("row_id", "host", "lines_id", "l.h", "l.n").join(shared, ["host", "h"], "left")
+    own = F.col("texts").isNull()
+    rows = lines.groupBy("row_id", "host", "lines_id").agg(
+        F.collect_list(F.when(~own, F.col("h"))).alias("shared"), F.min(F.when(~own, F.struct("texts", "h"))).alias("rarest"), F.count_if(own).alias("own_lines"), F.sum(F.when(own, F.col("n")).otherwise(0)).alias("own")
+    ).filter(F.col("rarest").isNotNull())  # lines of one document
+    rows = scratch.save(rows, "having")
+    # only texts with shared lines have to be told apart
+    having = measured.select("row_id", "host", "lines").join(rows.select("row_id", "shared"), "row_id")
+    windows = having.select("row_id", "host", "shared", F.explode("lines").alias("l")).select("row_id", "host", (~F.array_contains("shared", F.col("l.h"))).alias("own"), F.explode("l.windows").alias("w"))
+    first = windows.select("row_id", "own", F.xxhash64("host", "w").alias("w")).groupBy("w").agg(F.min("own").alias("own"), F.min("row_id").alias("row_id"))
+    new = scratch.save(first.filter("own").groupBy("row_id").agg(F.count("*").alias("new")), "new")
+    # equal texts count by their first row, to which their windows are new
+    rows = rows.join(scratch.save(rows.groupBy("host", "lines_id").agg(F.min("row_id").alias("row_id")), "texts").select("row_id"), "row_id").join(new, "row_id", "left")
+    told = F.when(F.col("own_lines") == 0, F.col("rarest.h")).when(F.col("new") > min_variety * F.col("own"), F.col("lines_id"))
+    counted = rows.select("host", F.explode("shared").alias("h"), told.alias("told")).distinct().groupBy("host", "h").agg(F.greatest(F.count("told"), F.lit(1)).alias("docs"))
+    return counted.join(hosts, "host").filter(F.col("docs") > F.col("limit")).select("host", "h")
 
 
 def assess(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE, min_variety: float = MIN_VARIETY, left_share: float = LEFT_SHARE) -> DataFrame:
     """For each row of docs: doc_id, figures, n_frequent_words, base_failed, kept, row_id (the place in docs), and in frequent the hashes of its frequent lines (null: none)."""
     scratch = Scratch(docs.sparkSession, "quality")
     measured = _measured(docs, host, scratch)
-    frequent = scratch.save(_frequent(measured, min_docs, min_share, min_variety), "frequent")
+    frequent = scratch.save(_frequent(measured, scratch, min_docs, min_share, min_variety), "frequent")
     lines = measured.select("row_id", "host", F.explode("lines").alias("l")).select("row_id", "host", "l.h", "l.words")
     lost = lines.join(frequent, ["host", "h"]).groupBy("row_id").agg(F.sum("words").alias("lost"), F.collect_list("h").alias("frequent"))  # lines of one document
     n, lost_words = F.col("n_words"), F.coalesce("lost", F.lit(0))

@@ -1,3 +1,4 @@
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -75,3 +76,15 @@ def test_near_copies_stay(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
     out = Q.assess(df)
     assert out.filter("kept").count() == 300 and out.filter("n_frequent_words > 0").count() == 0
+
+
+def test_templates_go(spark):
+    rnd = random.Random(4)
+    vocab = [f"{a}{b}{c}" for a in "bdfgk" for b in "aeiou" for c in "lmnrst"]
+    say = lambda n: " ".join(rnd.choice(vocab) for _ in range(n))
+    for host in range(4):
+        template = [say(12) for _ in range(8)]
+        rows = [(k, "\n".join([*template[:4], say(25), *template[4:]]), f"h{host}") for k in range(300)]
+        rows += [(300 + k, "\n".join([*template, f"{say(2)} one text many times with few words changed {say(2)} and all else as it was"]), f"h{host}") for k in range(5)]
+        out = Q.assess(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+        assert out.filter("n_frequent_words = 96").count() == len(rows)
