@@ -3,7 +3,7 @@
 Each text gives its own figures (words, symbols, repeated lines, words in repeated windows) and the hashes of its lines,
 normalised: ASCII letters in lower case, runs of digits as one 0, runs of white space as one space. For each host the distinct
 documents with a line are counted, over all rows. A line is frequent if more than min_docs documents of its host have it, and
-more than min_share of them. Frequent lines are removed; a document that has lost nearly all of its words by that is depleted
+more than min_share of its different texts, or more than max_docs, however large the host is. Frequent lines are removed; a document that has lost nearly all of its words by that is depleted
 and rejected.
 
 Copies of one document count once. Equal texts do, and so do near copies: the lines of a text that is there a thousand times, with
@@ -33,9 +33,10 @@ from dupforge.llm.common import Scratch, documents, numbered, with_text
 MIN_WORDS = 10
 MAX_REPEATED_PERCENT = 20
 WINDOW = 5
-#: A line is frequent on a host beyond both: documents, and share of the host's documents.
+#: A line is frequent on a host beyond both: documents, and share of the host's different texts; the share asks for no more than MAX_DOCS.
 MIN_DOCS = 10
 MIN_SHARE = 0.005
+MAX_DOCS = 50
 #: A text counts as another document if more than this share of its own windows is new.
 MIN_VARIETY = 0.5
 #: Windows by which own lines are compared: words in each, and how many of a line, those with the least hashes.
@@ -47,7 +48,7 @@ LEFT_SHARE = 0.3
 SYMBOLS = "#*$%&|<>"
 DIGITS, SYMBOL = re.compile(rb"[0-9]+"), re.compile(rb"[#*$%&|<>]")
 FIGURES = pa.schema([(k, pa.int64()) for k in ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")])
-LINES = pa.list_(pa.struct([("h", pa.int64()), ("words", pa.int64()), ("windows", pa.list_(pa.int64()))]))
+LINES = pa.list_(pa.struct([("h", pa.int64()), ("words", pa.int64()), ("windows", pa.list_(pa.int32()))]))
 
 
 def _hash(line: bytes) -> int:
@@ -84,9 +85,9 @@ def figures(text: bytes) -> tuple[int, int, int, int, int]:
 
 
 def least_windows(words: list[bytes]) -> list[int]:
-    """The least hashes of windows of a line, or of the line if it is shorter."""
+    """The least hashes, of 32 bits, of windows of a line, or of the line if it is shorter."""
     windows = zip(*(words[k:] for k in range(OWN_WINDOW)), strict=False) if len(words) > OWN_WINDOW else [words]
-    return sorted({_hash(b" ".join(w)) for w in windows})[:OWN_WINDOWS]
+    return sorted({(_hash(b" ".join(w)) & 0xFFFFFFFF) - (1 << 31) for w in windows})[:OWN_WINDOWS]
 
 
 def line_hashes(text: bytes) -> tuple[list[dict], int]:
@@ -122,14 +123,15 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _measured(docs: DataFrame, host: str, scratch: Scratch) -> DataFrame:
-    schema = "row_id long, " + ", ".join(f"{f.name} long" for f in FIGURES) + ", host string, lines array<struct<h: long, words: long, windows: array<long>>>, lines_id long"
+    schema = "row_id long, " + ", ".join(f"{f.name} long" for f in FIGURES) + ", host string, lines array<struct<h: long, words: long, windows: array<int>>>, lines_id long"
     rows = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"))
     return scratch.save(rows.mapInArrow(_measure, schema), "measured")
 
 
-def _frequent(measured: DataFrame, scratch: Scratch, min_docs: int, min_share: float, min_variety: float) -> DataFrame:
+def _frequent(measured: DataFrame, scratch: Scratch, min_docs: int, min_share: float, min_variety: float, max_docs: int) -> DataFrame:
     """host, h of the frequent lines."""
-    hosts = measured.groupBy("host").agg(F.count("*").alias("host_docs")).select("host", F.greatest(F.lit(min_docs), min_share * F.col("host_docs")).alias("limit"))
+    hosts = measured.select("host", "lines_id").distinct().groupBy("host").agg(F.count("*").alias("host_docs"))
+    hosts = hosts.select("host", F.greatest(F.lit(min_docs), F.least(min_share * F.col("host_docs"), F.lit(max_docs))).alias("limit"))
     # step by step, so that neither a host nor a line is brought to one task: different texts, then their numbers
     texts = measured.select("host", "lines_id", F.explode("lines.h").alias("h")).distinct().groupBy("host", "h").agg(F.count("*").alias("texts"))
     shared = scratch.save(texts.join(hosts, "host").filter(F.col("texts") > F.col("limit")).select("host", "h", "texts"), "shared")
@@ -140,8 +142,8 @@ def _frequent(measured: DataFrame, scratch: Scratch, min_docs: int, min_share: f
         F.collect_list(F.when(~own, F.col("h"))).alias("shared"), F.min(F.when(~own, F.struct("texts", "h"))).alias("rarest"), F.count_if(own).alias("own_lines"), F.sum(F.when(own, F.col("n")).otherwise(0)).alias("own")
     ).filter(F.col("rarest").isNotNull())  # lines of one document
     rows = scratch.save(rows, "having")
-    # only texts with shared lines have to be told apart
-    having = measured.select("row_id", "host", "lines").join(rows.select("row_id", "shared"), "row_id")
+    # only texts with shared lines have to be told apart; merged at every size, since a corpus has too many of them to broadcast
+    having = measured.select("row_id", "host", "lines").join(rows.select("row_id", "shared").hint("merge"), "row_id")
     windows = having.select("row_id", "host", "shared", F.explode("lines").alias("l")).select("row_id", "host", (~F.array_contains("shared", F.col("l.h"))).alias("own"), F.explode("l.windows").alias("w"))
     first = windows.select("row_id", "own", F.xxhash64("host", "w").alias("w")).groupBy("w").agg(F.min("own").alias("own"), F.min("row_id").alias("row_id"))
     new = scratch.save(first.filter("own").groupBy("row_id").agg(F.count("*").alias("new")), "new")
@@ -152,11 +154,11 @@ def _frequent(measured: DataFrame, scratch: Scratch, min_docs: int, min_share: f
     return counted.join(hosts, "host").filter(F.col("docs") > F.col("limit")).select("host", "h")
 
 
-def assess(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE, min_variety: float = MIN_VARIETY, left_share: float = LEFT_SHARE) -> DataFrame:
+def assess(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE, min_variety: float = MIN_VARIETY, left_share: float = LEFT_SHARE, max_docs: int = MAX_DOCS) -> DataFrame:
     """For each row of docs: doc_id, figures, n_frequent_words, base_failed, kept, row_id (the place in docs), and in frequent the hashes of its frequent lines (null: none)."""
     scratch = Scratch(docs.sparkSession, "quality")
     measured = _measured(docs, host, scratch)
-    frequent = scratch.save(_frequent(measured, scratch, min_docs, min_share, min_variety), "frequent")
+    frequent = scratch.save(_frequent(measured, scratch, min_docs, min_share, min_variety, max_docs), "frequent")
     lines = measured.select("row_id", "host", F.explode("lines").alias("l")).select("row_id", "host", "l.h", "l.words")
     lost = lines.join(frequent, ["host", "h"]).groupBy("row_id").agg(F.sum("words").alias("lost"), F.collect_list("h").alias("frequent"))  # lines of one document
     n, lost_words = F.col("n_words"), F.coalesce("lost", F.lit(0))

@@ -88,3 +88,11 @@ def test_templates_go(spark):
         rows += [(300 + k, "\n".join([*template, f"{say(2)} one text many times with few words changed {say(2)} and all else as it was"]), f"h{host}") for k in range(5)]
         out = Q.assess(spark.createDataFrame(rows, "doc_id long, text string, source string"))
         assert out.filter("n_frequent_words = 96").count() == len(rows)
+
+
+def test_large_host(spark):
+    rnd = random.Random(5)
+    own = lambda k: " ".join("".join(rnd.choices("abcdefghijklmnop", k=4)) for _ in range(12))
+    rows = [(k, own(k) + ("\nShared by sixty documents of a large host" if k % 250 == 0 else ""), "h") for k in range(15_000)]
+    out = Q.assess(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    assert out.filter("n_frequent_words = 8").count() == 60 and out.filter("n_frequent_words > 0").count() == 60
