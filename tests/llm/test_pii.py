@@ -68,3 +68,10 @@ def test_redaction(spark, odd):
     assert out[2]["text"] == "nothing" and out[2]["n_chars"] == 7 and out[3]["text"] is None and out[4]["text"] == "<EMAIL>"
     again = pii.redact(odd)
     assert again.columns == odd.columns and again.count() == odd.count() and again.first()["spans"] == "spans"
+
+
+def test_iban_before_a_word(spark):
+    ibans = ["AT61 1904 3002 3457 3201", "ES91 2100 0418 4502 0005 1332", "ES9121000418450200051332", "DE89 3704 0044 0532 0130 00", "NO93 8601 1117 947"]
+    rows = [(k, f"pay {x} {after}") for k, (x, after) in enumerate((x, a) for x in ibans for a in ("BIC BKAUATWW", "12 euros", "now", ""))]
+    for r in pii.detect(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        assert [(s["kind"], r["text"][s["start"] : s["end"]]) for s in r["spans"] if s["kind"] == "iban"] == [("iban", ibans[r["doc_id"] // 4])]
