@@ -7,7 +7,7 @@ Equal fingerprints are one node, so a group of copies of any size costs one comp
 bands: two fingerprints in reach agree on m bands at least, so a table for each choice of m bands meets every pair. m follows
 from the number of distinct fingerprints, so that chance meetings stay few. Each table is sorted by its bands; runs of whole
 buckets are compared as blocks: bit planes are stored vertically, 64 fingerprints to a word, distances are counted by carry-save
-counters, and a block is abandoned once all of its counters have passed the radius. A bucket too large for a block is dealt
+counters, and a row is abandoned once all of its counters have passed the radius. A bucket too large for a block is dealt
 into tiles, each pair of tiles compared by a task of its own. A block gives a spanning forest of its links, never its pairs.
 
 Defined results: null text and text without words have fingerprint zero, linked like any other; a null doc_id gets its group's
@@ -38,6 +38,7 @@ BLOCK = 1024
 LARGEST_BLOCK = 16384
 #: Chance meetings for each fingerprint and table, above which one more band has to agree.
 CHANCE = 8
+FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
@@ -86,20 +87,30 @@ def forest(fps: np.ndarray, radius: int = RADIUS, rows: int = 128) -> np.ndarray
         shape = (end - top, width - lo)
         count = [np.zeros(shape, np.uint64) for _ in range(counters)]
         over = np.broadcast_to(pad[lo:], shape).copy()
+        # a row meets the columns after it; those before it have met it
+        own = np.arange(top, end)
+        for i in own.tolist():
+            over[i - top, : i // 64 - lo] = FULL
+            over[i - top, i // 64 - lo] |= np.uint64((2 << (i % 64)) - 1)
         carry, spare = np.empty(shape, np.uint64), np.empty(shape, np.uint64)
         for b in range(64):
-            np.bitwise_xor(planes[b, lo:], sign[b, top:end, None], out=carry)
+            np.bitwise_xor(planes[b, lo:], sign[b, own, None], out=carry)
             for c in count:
                 np.bitwise_and(c, carry, out=spare)
                 np.bitwise_xor(c, carry, out=c)
                 carry, spare = spare, carry
             np.bitwise_or(over, carry, out=over)
-            if b >= 12 and b % 4 == 0 and np.bitwise_and.reduce(over, axis=None) == np.uint64(0xFFFFFFFFFFFFFFFF):
-                break
+            if b >= 12 and b % 4 == 0:
+                left = np.flatnonzero(np.bitwise_and.reduce(over, axis=1) != FULL)
+                if 4 * len(left) <= 3 * len(own):
+                    own, over, count = own[left], over[left], [c[left] for c in count]
+                    carry, spare = np.empty_like(over), np.empty_like(over)
+                if not len(left):
+                    break
         near = np.unpackbits((~over).view(np.uint8), axis=1, bitorder="little")
-        for i in np.flatnonzero(near.sum(1, dtype=np.int64) > 1).tolist():
+        for i in np.flatnonzero(near.any(1)).tolist():
             met = np.flatnonzero(near[i]) + lo * 64
-            roots = np.unique(label[np.append(met, top + i)])
+            roots = np.unique(label[np.append(met, own[i])])
             if len(roots) > 1:
                 label[np.isin(label, roots[1:])] = roots[0]
     return label

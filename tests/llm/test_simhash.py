@@ -76,3 +76,11 @@ def test_rows_that_stay(odd, empty):
     ids = [r["doc_id"] for r in kept.collect()]
     assert kept.columns == odd.columns and None in ids and ids.count(4) == 1 and 5 not in ids and 1 in ids and not {2, 3} & {*ids}
     assert S.near_groups(empty).count() == 0 and S.drop_near_copies(empty).count() == 0
+
+
+def test_rows_are_abandoned(monkeypatch):
+    planes, xor = [], np.bitwise_xor
+    monkeypatch.setattr(S.np, "bitwise_xor", lambda *a, **k: (planes.append(1), xor(*a, **k))[1])
+    fps = np.random.default_rng(3).integers(0, 2**63, 256, dtype=np.uint64)
+    assert (S.forest(fps) == np.arange(256)).all()
+    assert len(planes) < 2 * 64 * 3  # two blocks of rows; a plane and two counters at each of 64 bits
