@@ -2,9 +2,9 @@
 
 A document is its ids and one id 0 behind them. Whole stretches of 1024 ids are sequences of their own. What is left of each
 document, fewer than 1024 ids, is packed by length: a linear program over patterns of the length histogram (cutting_stock.py)
-says how often each pattern is filled; its counts are rounded down, and the documents of a length take its places by rank.
-Documents that rounding leaves over, and those whose patterns would pad over a hundredth, are laid in one stream that is cut
-every 1024 ids. So at most the last sequence of the stream, and a hundredth of the patterns' ids, are padding.
+says how often each pattern is filled, columns being priced until none is left that would lower the price; its counts are rounded
+down, what is left over is filled sequence by sequence, and the documents of a length take its places by rank. Documents for
+which a cut is cheaper (it is priced as ten tokens of padding) are laid in one stream that is cut every 1024 ids.
 
 Ranks are made without bringing a length together: each task ranks its own rows while it encodes them, and the counts of the
 tasks before it are added. Only the histogram, at most 1023 numbers, comes to the driver.
