@@ -2,18 +2,17 @@
 
 Each text gives its own figures (words, symbols, repeated lines, words in repeated windows) and the hashes of its lines,
 normalised: ASCII letters in lower case, runs of digits as one 0, runs of white space as one space. For each host the distinct
-documents with a line are counted, over all rows. A line is frequent if more than min_docs documents of its host have it, and
-more than min_share of its different texts, or more than max_docs, however large the host is. Frequent lines are removed; a document that has lost nearly all of its words by that is depleted
-and rejected.
-
-Copies of one document count once. Equal texts do, and so do near copies: the lines of a text that is there a thousand times, with
-a few words changed each time, aren't boilerplate, and such copies are kept; dropping them is for the dedup operators. What tells
-texts apart is their own lines, all of those that aren't in more than the limit of different texts themselves. A text counts if
-over MIN_VARIETY of the word windows in its own lines are new: in no shared line, and in no own line of a text before it. So of near copies one counts, however many there are, and a template counts once for each document written around it,
-however long it is. Texts of nothing but shared lines are told apart by the least shared of them.
-
-Defined results: null text has no words (and so fails the base rule); null hosts are one host; a text without a line over is
-never depleted by lines; rows that repeat give rows that repeat; extra columns are ignored; an empty table gives an empty table.
+documents with a line are counted, over all rows; documents whose normalised lines are all equal count once. A line that more
+than max_docs documents of its host have is above the limit. It is removed, but for the document with the least doc_id that has
+it, so that a group of near copies, whose lines are above the limit too, leaves one document. A document that has lost nearly all
+of its words by that is depleted and rejected.
+
+A line is known by one 64-bit hash of host and line, so counts are partial sums over longs and neither a host nor a line is
+brought to one task.
+
+Defined results: null text has no words (and so fails the base rule); null hosts are one host, apart from the host named ''; rows
+without doc_id rank behind all others, and where no row with a line has one, all of them keep it; rows that repeat give rows that
+repeat; of ties, rows with the least doc_id, all keep the line; extra columns are ignored; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -28,31 +27,28 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dupforge.llm.common import Scratch, documents, numbered, with_text
+from dupforge.llm.common import Scratch, documents, numbered, steady, with_text
 
 MIN_WORDS = 10
 MAX_REPEATED_PERCENT = 20
 WINDOW = 5
-#: A line is frequent on a host beyond both: documents, and share of the host's different texts; the share asks for no more than MAX_DOCS.
-MIN_DOCS = 10
-MIN_SHARE = 0.005
-MAX_DOCS = 50
-#: A text counts as another document if more than this share of its own windows is new.
-MIN_VARIETY = 0.5
-#: Windows by which own lines are compared: words in each, and how many of a line, those with the least hashes.
-OWN_WINDOW = 3
-OWN_WINDOWS = 16
+WHITE = " \t\n\x0b\x0c\r"
+#: More distinct documents of a host than that have a line that is removed.
+MAX_DOCS = 10
 #: A document is depleted if less than this share of its words is left.
-LEFT_SHARE = 0.3
+LEFT_PERCENT = 30
 
-SYMBOLS = "#*$%&|<>"
 DIGITS, SYMBOL = re.compile(rb"[0-9]+"), re.compile(rb"[#*$%&|<>]")
 FIGURES = pa.schema([(k, pa.int64()) for k in ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")])
-LINES = pa.list_(pa.struct([("h", pa.int64()), ("words", pa.int64()), ("windows", pa.list_(pa.int32()))]))
+LINES = pa.list_(pa.struct([("h", pa.int64()), ("words", pa.int64())]))
+
+
+def _hash(line: bytes, host: int = 0) -> int:
+    return xxhash.xxh64_intdigest(line, host) - (1 << 63)
 
 
-def _hash(line: bytes) -> int:
-    return xxhash.xxh64_intdigest(line) - (1 << 63)
+def host_seed(host: str | None) -> int:
+    return 0 if host is None else xxhash.xxh64_intdigest(host.encode(), 1)
 
 
 def normalised(line: bytes) -> bytes:
@@ -84,104 +80,112 @@ def figures(text: bytes) -> tuple[int, int, int, int, int]:
     return len(words), chars, len(SYMBOL.findall(text)), len(lines) - len({*lines}), repeated_words(words)
 
 
-def least_windows(words: list[bytes]) -> list[int]:
-    """The least hashes, of 32 bits, of windows of a line, or of the line if it is shorter."""
-    windows = zip(*(words[k:] for k in range(OWN_WINDOW)), strict=False) if len(words) > OWN_WINDOW else [words]
-    return sorted({(_hash(b" ".join(w)) & 0xFFFFFFFF) - (1 << 31) for w in windows})[:OWN_WINDOWS]
-
-
-def line_hashes(text: bytes) -> tuple[list[dict], int]:
-    """Each distinct normalised line: hash, words in all of its occurrences, and those of its least windows that no line before it has. Then a hash of all lines."""
-    lines: dict[int, dict] = {}
-    listed: set[int] = set()
+def line_hashes(text: bytes, host: int) -> tuple[list[dict], int]:
+    """Each distinct normalised line: hash with its host, and the words in all of its occurrences. Then a hash of all lines."""
+    lines: dict[int, int] = {}
+    order = []
     for line in text.split(b"\n"):
         if line.strip():
             plain = normalised(line)
-            h, parts = _hash(plain), plain.split(b" ")
-            if h in lines:
-                lines[h]["words"] += len(parts)
-            else:
-                windows = [w for w in least_windows(parts) if w not in listed]
-                listed.update(windows)
-                lines[h] = {"h": h, "words": len(parts), "windows": windows}
-    return [*lines.values()], _hash(b"".join(h.to_bytes(8, "little", signed=True) for h in lines))
+            h = _hash(plain, host)
+            lines[h] = lines.get(h, 0) + plain.count(b" ") + 1
+            order.append(h)
+    return [{"h": h, "words": n} for h, n in lines.items()], _hash(np.array(order, "<i8").tobytes())
 
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("row_id", pa.int64()), *FIGURES, ("host", pa.string()), ("lines", LINES), ("lines_id", pa.int64())])
+    schema = pa.schema([("row_id", pa.int64()), *FIGURES, ("lines", LINES), ("lines_id", pa.int64())])
     for batch in batches:
         for at in range(0, batch.num_rows, 1024):
             part, rows, lines, ids = batch.slice(at, 1024), [], [], []
-            for doc_id, text in zip(part.column("doc_id"), part.column("text"), strict=True):
+            for doc_id, text, host in zip(part.column("doc_id"), part.column("text"), part.column("host"), strict=True):
                 data = (text.as_py() or "").encode()
                 rows.append((doc_id.as_py(), *figures(data)))
-                found, lines_id = line_hashes(data)
+                found, lines_id = line_hashes(data, host_seed(host.as_py()))
                 lines.append(found)
                 ids.append(lines_id)
             columns = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)]
-            yield pa.RecordBatch.from_arrays([part.column("row_id"), *columns, part.column("host"), pa.array(lines, LINES), pa.array(ids, pa.int64())], schema=schema)
+            yield pa.RecordBatch.from_arrays([part.column("row_id"), *columns, pa.array(lines, LINES), pa.array(ids, pa.int64())], schema=schema)
 
 
 def _measured(docs: DataFrame, host: str, scratch: Scratch) -> DataFrame:
-    schema = "row_id long, " + ", ".join(f"{f.name} long" for f in FIGURES) + ", host string, lines array<struct<h: long, words: long, windows: array<int>>>, lines_id long"
-    rows = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"))
+    schema = "row_id long, " + ", ".join(f"{f.name} long" for f in FIGURES) + ", lines array<struct<h: long, words: long>>, lines_id long"
+    rows = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), "text", F.col(host).cast("string").alias("host"))
     return scratch.save(rows.mapInArrow(_measure, schema), "measured")
 
 
-def _frequent(measured: DataFrame, scratch: Scratch, min_docs: int, min_share: float, min_variety: float, max_docs: int) -> DataFrame:
-    """host, h of the frequent lines."""
-    hosts = measured.select("host", "lines_id").distinct().groupBy("host").agg(F.count("*").alias("host_docs"))
-    hosts = hosts.select("host", F.greatest(F.lit(min_docs), F.least(min_share * F.col("host_docs"), F.lit(max_docs))).alias("limit"))
-    # step by step, so that neither a host nor a line is brought to one task: different texts, then their numbers
-    texts = measured.select("host", "lines_id", F.explode("lines.h").alias("h")).distinct().groupBy("host", "h").agg(F.count("*").alias("texts"))
-    shared = scratch.save(texts.join(hosts, "host").filter(F.col("texts") > F.col("limit")).select("host", "h", "texts"), "shared")
-    sizes = F.transform("lines", lambda x: F.struct(x["h"].alias("h"), F.size(x["windows"]).alias("n")))
-    lines = measured.select("row_id", "host", "lines_id", F.explode(sizes).alias("l")).select("row_id", "host", "lines_id", "l.h", "l.n").join(shared, ["host", "h"], "left")
-    own = F.col("texts").isNull()
-    rows = lines.groupBy("row_id", "host", "lines_id").agg(
-        F.collect_list(F.when(~own, F.col("h"))).alias("shared"), F.min(F.when(~own, F.struct("texts", "h"))).alias("rarest"), F.count_if(own).alias("own_lines"), F.sum(F.when(own, F.col("n")).otherwise(0)).alias("own")
-    ).filter(F.col("rarest").isNotNull())  # lines of one document
-    rows = scratch.save(rows, "having")
-    # only texts with shared lines have to be told apart; merged at every size, since a corpus has too many of them to broadcast
-    having = measured.select("row_id", "host", "lines").join(rows.select("row_id", "shared").hint("merge"), "row_id")
-    windows = having.select("row_id", "host", "shared", F.explode("lines").alias("l")).select("row_id", "host", (~F.array_contains("shared", F.col("l.h"))).alias("own"), F.explode("l.windows").alias("w"))
-    first = windows.select("row_id", "own", F.xxhash64("host", "w").alias("w")).groupBy("w").agg(F.min("own").alias("own"), F.min("row_id").alias("row_id"))
-    new = scratch.save(first.filter("own").groupBy("row_id").agg(F.count("*").alias("new")), "new")
-    # equal texts count by their first row, to which their windows are new
-    rows = rows.join(scratch.save(rows.groupBy("host", "lines_id").agg(F.min("row_id").alias("row_id")), "texts").select("row_id"), "row_id").join(new, "row_id", "left")
-    told = F.when(F.col("own_lines") == 0, F.col("rarest.h")).when(F.col("new") > min_variety * F.col("own"), F.col("lines_id"))
-    counted = rows.select("host", F.explode("shared").alias("h"), told.alias("told")).distinct().groupBy("host", "h").agg(F.greatest(F.count("told"), F.lit(1)).alias("docs"))
-    return counted.join(hosts, "host").filter(F.col("docs") > F.col("limit")).select("host", "h")
-
-
-def assess(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE, min_variety: float = MIN_VARIETY, left_share: float = LEFT_SHARE, max_docs: int = MAX_DOCS) -> DataFrame:
-    """For each row of docs: doc_id, figures, n_frequent_words, base_failed, kept, row_id (the place in docs), and in frequent the hashes of its frequent lines (null: none)."""
-    scratch = Scratch(docs.sparkSession, "quality")
+def _frequent(measured: DataFrame, max_docs: int) -> DataFrame:
+    """h of the lines above the limit, and in first the least doc_id that has it: distinct documents first, then their number, so that no task gets all rows of a hot line."""
+    texts = measured.select("lines_id", "doc_id", F.explode("lines.h").alias("h")).groupBy("lines_id", "h").agg(F.min("doc_id").alias("first"))
+    return texts.groupBy("h").agg(F.count("*").alias("docs"), F.min("first").alias("first")).filter(F.col("docs") > max_docs).select("h", "first")
+
+
+def assess(docs: DataFrame, host: str = "source", max_docs: int = MAX_DOCS, left_percent: int = LEFT_PERCENT, scratch: Scratch | None = None) -> DataFrame:
+    """For each row of docs: doc_id, figures, n_frequent_words (those in lines that are removed), base_failed, kept, row_id (the place in docs), and in frequent the hashes of its lines that are removed (null: none)."""
+    scratch = scratch or Scratch(docs.sparkSession, "quality")
     measured = _measured(docs, host, scratch)
-    frequent = scratch.save(_frequent(measured, scratch, min_docs, min_share, min_variety, max_docs), "frequent")
-    lines = measured.select("row_id", "host", F.explode("lines").alias("l")).select("row_id", "host", "l.h", "l.words")
-    lost = lines.join(frequent, ["host", "h"]).groupBy("row_id").agg(F.sum("words").alias("lost"), F.collect_list("h").alias("frequent"))  # lines of one document
+    frequent = scratch.save(_frequent(measured, max_docs), "frequent")
+    lines = measured.select("row_id", "doc_id", F.explode("lines").alias("l")).select("row_id", "doc_id", "l.h", "l.words")
+    # merged whatever its size: the table of lines grows with the corpus
+    above = lines.join(frequent.hint("merge"), "h").filter(~F.col("doc_id").eqNullSafe(F.col("first")))
+    lost = above.groupBy("row_id").agg(F.sum("words").alias("lost"), F.collect_list("h").alias("frequent"))  # lines of one document
     n, lost_words = F.col("n_words"), F.coalesce("lost", F.lit(0))
     base = (n < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * n)
-    depleted = (lost_words > 0) & (n - lost_words < left_share * n)
-    rows = measured.drop("lines", "lines_id", "host").join(scratch.save(lost, "lost"), "row_id", "left")
+    depleted = (lost_words > 0) & (100 * (n - lost_words) < left_percent * n)
+    rows = measured.drop("lines", "lines_id").join(scratch.save(lost, "lost").hint("merge"), "row_id", "left")
     return rows.select(*FIGURES.names, lost_words.alias("n_frequent_words"), base.alias("base_failed"), (~base & ~depleted).alias("kept"), "row_id", "frequent")
 
 
-def without_lines(text: str, hashes: list[int]) -> str:
-    gone = {*hashes}
-    return "\n".join(x for x in text.split("\n") if _hash(normalised(x.encode())) not in gone)
+def without_lines(text: str, host: str | None, hashes: list[int]) -> str:
+    gone, seed = {*hashes}, host_seed(host)
+    return "\n".join(x for x in text.split("\n") if not x.strip(WHITE) or _hash(normalised(x.encode()), seed) not in gone)
 
 
 def clean(docs: DataFrame, host: str = "source", **limits) -> DataFrame:
-    """The rows of docs that are kept, with their columns, without their frequent lines. docs has to be a table that reads alike each time: rows are known by their places in it."""
-    kept = assess(docs, host, **limits).filter("kept").select(F.col("row_id").alias("_row"), F.col("frequent").alias("_gone"))
-    cut = F.udf(lambda text, gone: None if text is None else without_lines(text, gone), "string", useArrow=True)
+    """The rows of docs that are kept, with their columns, without the lines that are removed."""
+    scratch = Scratch(docs.sparkSession, "quality")
+    docs = steady(docs, scratch)
+    kept = assess(docs, host, scratch=scratch, **limits).filter("kept").select(F.col("row_id").alias("_row"), F.col("frequent").alias("_gone"))
+    cut = F.udf(lambda text, host, gone: None if text is None else without_lines(text, host, gone), "string", useArrow=True)
     some = F.col("_gone").isNotNull()
     # only texts that lose lines go to Python
-    rows = numbered(docs).join(kept, "_row").withColumn("_cut", cut(F.when(some, F.col("doc.text")), "_gone"))
+    rows = numbered(docs).join(kept, "_row").withColumn("_cut", cut(F.when(some, F.col("doc.text")), F.col(f"doc.`{host}`").cast("string"), "_gone"))
     return rows.select(*with_text(docs, F.col("_cut"), some))
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assess(documents(spark, sf_dir)).drop("row_id", "frequent")
+
+
+ORACLE = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS text FROM documents),
+w AS (SELECT rid, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM d),
+windows AS (
+  SELECT rid, i, concat_ws(' ', w[i], w[i + 1], w[i + 2], w[i + 3], w[i + 4]) AS win
+  FROM (SELECT rid, w, unnest(generate_series(1, len(w) - 4)) AS i FROM w WHERE len(w) >= 5)),
+twice AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, win) AS n FROM windows) WHERE n > 1),
+repeated AS (SELECT rid, count(DISTINCT i + k) AS n FROM twice, (SELECT unnest(generate_series(0, 4)) AS k) GROUP BY rid),
+raw AS (SELECT rid, doc_id, source, unnest(string_split(text, chr(10))) AS line FROM d),
+lines AS (
+  SELECT rid, doc_id, source, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words,
+    trim(regexp_replace(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9]+', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g')) AS plain
+  FROM raw WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+same AS (SELECT rid, count(*) - count(DISTINCT line) AS dup FROM lines GROUP BY rid),
+plain AS (
+  SELECT rid, array_to_string(list_filter(list_transform(string_split(regexp_replace(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9]+', '0', 'g'), chr(10)),
+    lambda x: trim(regexp_replace(x, '[\x20\x09-\x0D]+', ' ', 'g'))), lambda x: x <> ''), chr(10)) AS t
+  FROM d),
+above AS (
+  SELECT l.source, l.plain, min(l.doc_id) AS first
+  FROM lines l JOIN plain p USING (rid) GROUP BY l.source, l.plain HAVING count(DISTINCT p.t) > 10),
+lost AS (
+  SELECT l.rid, sum(l.words) AS lost FROM lines l JOIN above a ON l.plain = a.plain AND l.source IS NOT DISTINCT FROM a.source
+  WHERE l.doc_id IS DISTINCT FROM a.first GROUP BY l.rid),
+figures AS (
+  SELECT d.doc_id, len(w.w) AS n_words, length(regexp_replace(d.text, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars, length(regexp_replace(d.text, '[^#*$%&|<>]+', '', 'g')) AS n_symbols,
+    coalesce(s.dup, 0) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words, coalesce(l.lost, 0)::BIGINT AS n_frequent_words
+  FROM d JOIN w USING (rid) LEFT JOIN same s USING (rid) LEFT JOIN repeated r USING (rid) LEFT JOIN lost l USING (rid))
+SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND NOT (n_frequent_words > 0 AND 100 * (n_words - n_frequent_words) < 30 * n_words) AS kept
+FROM figures
+"""

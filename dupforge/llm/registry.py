@@ -26,6 +26,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op4_quality_rules": quality.ORACLE,
         "op6_exact_dedup": exact_dedup.ORACLE,
         "op7_line_dedup": line_dedup.ORACLE,
     }

@@ -1,4 +1,4 @@
-"""The pipeline against one by hand: stages in plain Python, which share with it no more than the hash of a line."""
+"""The pipeline against one by hand: stages in plain Python."""
 
 import numpy as np
 
@@ -10,8 +10,7 @@ from . import test_exact, test_pii, test_quality, test_simhash
 
 
 def by_hand(rows):
-    verdicts = test_quality.by_hand(rows, Q.MIN_DOCS, Q.MIN_SHARE, Q.LEFT_SHARE)
-    left = {r["doc_id"]: r["text"] for r, v in zip(rows, verdicts, strict=True) if v[-1]}
+    left = dict(test_quality.cleaned(rows, test_quality.by_hand(rows, Q.MAX_DOCS, Q.LEFT_PERCENT), Q.MAX_DOCS))
     exact = {}
     for k, t in left.items():
         exact[test_exact.folded(t)] = max(k, exact.get(test_exact.folded(t), k))
