@@ -12,8 +12,9 @@ A block's documents travel compressed. If a retried task cuts its blocks in anot
 word may be missing from a block's table; it is then encoded in place, with the same result.
 
 Equal to the tokenizers library's encode(text, add_special_tokens=False) without truncation or padding, followed by
-decode(ids, skip_special_tokens=False): the library's own normalizer prepares every text that isn't plain ASCII, and texts that
-contain one of the tokenizer's added tokens are encoded whole.
+decode(ids, skip_special_tokens=False): the library's own normalizer prepares every text that isn't plain ASCII, its own
+pre-tokenizer splits every text with a character beyond Latin letters and common punctuation, and texts that contain one of the
+tokenizer's added tokens are encoded whole.
 
 Defined results: null text counts as empty (no ids, an empty decoded text); rows that repeat give rows that repeat; a null doc_id
 stays null; extra columns are ignored; an empty table gives an empty table.
@@ -64,6 +65,9 @@ class WordBPE:
             raise ValueError(f"{name} splits words or decodes in a way that this operator doesn't know")
         self.added = re.compile("|".join(re.escape(x["content"]) for x in said["added_tokens"]) or r"(?!)")
         self.split = regex.compile(SPLIT)
+        #: Characters whose class no Unicode version disputes; the library's own tables are of another version than those of the regex module.
+        self.safe = re.compile(r"[\x00-\u024F\u2010-\u2027]*").fullmatch
+        self.own_split = Tokenizer.from_str(json.dumps(said | {"pre_tokenizer": steps[0]})).pre_tokenizer.pre_tokenize_str
         self.plain = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\x09-\x0D\x200-9a-z]+")
         self.by_word = Tokenizer.from_str(json.dumps(said | {"normalizer": None, "pre_tokenizer": steps[1]}))
         self.pieces = [self.tok.id_to_token(i) for i in range(self.tok.get_vocab_size(with_added_tokens=True))]
@@ -74,7 +78,8 @@ class WordBPE:
             return None
         if text.isascii():
             return self.plain.findall(text.lower())
-        return self.split.findall(self.tok.normalizer.normalize_str(text))
+        text = self.tok.normalizer.normalize_str(text)
+        return self.split.findall(text) if self.safe(text) else [w for w, _ in self.own_split(text)]
 
     def encode(self, text: str) -> np.ndarray:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, dtype="<u4")

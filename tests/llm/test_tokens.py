@@ -39,6 +39,19 @@ def test_round_trip(words, docs, odd, empty):
     assert token_blocks.encode_decode_digests(empty).count() == 0
 
 
+def test_every_code_point(words):
+    """Of the characters that a text may have, each in several places of words."""
+    bpe = token_blocks.model(token_blocks.TOKENIZER)
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    text = lambda c: f"abX{chr(c)}cd {chr(c)} {chr(c)}1{chr(c)}{chr(c)}x's\n"
+    few = [text(c) for c in points if c < 0x3000]  # one by one: where texts are split in one way or another
+    many = ["".join(map(text, points[k : k + 500])) for k in range(0, len(points), 500)]
+    for t in few + many:
+        own = bpe.words(t)
+        got = bpe.encode(t) if own is None else np.concatenate([*bpe.encode_words(own), np.array([], "<u4")])
+        assert got.tolist() == ids_of(words, t).tolist(), t[:12]
+
+
 def test_fast_encoder_agrees(bytes_, docs, odd):
     bpe = ByteBPE()
     assert bpe.fast
