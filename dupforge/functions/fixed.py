@@ -108,3 +108,25 @@ REPORT_COLUMNS = (
     "时长(秒)", "编码", "格式", "修改时间", "扫描快照时间戳", "报告版本",
 )
 REQUIRED_REPORT_COLUMNS = ("候选组", "决定", "完整路径", "大小(字节)", "修改时间")
+
+#: Simplified characters beside those of ICU's rules.
+SIMPLIFIED_TOO = {"嶽": "岳"}
+
+#: What a file's snapshot is said to differ in, and what becomes of it.
+MISSING, LINK, NOT_REGULAR, MODIFIED = "文件不存在（可能已移动或已经删除）", "路径已变为符号链接，已按安全规则忽略", "路径当前不是普通文件，已按安全规则忽略", "文件修改时间已变化"
+RESIZED = ("文件大小已变化（扫描时 ", " 字节，当前 ", " 字节）")
+UNREADABLE, NETWORK, MOVED, NOT_MOVED = "无法读取当前文件状态：", "网络路径不能保证进入回收站，已拒绝操作", "已移入安全暂存目录：", "移动失败："
+NO_SURVIVOR, NONE_INTACT = "候选组没有保留或未删除文件，为防止整组被删除已自动忽略", "候选组中没有状态正常的保留文件，为防止整组被删除已自动忽略"
+SURVIVOR_CHANGED = "原保留/非删除文件状态异常："
+CHOSE_GROUP, CHOSE_ALL, CHOSE_IGNORE = "；用户选择仅本组继续", "；用户选择本次后续同类情况全部继续", "；用户选择安全忽略本组"
+CHOSEN_TO_IGNORE = "原保留文件状态异常，用户选择安全忽略本组"
+
+#: The columns of the list of ignored files.
+IGNORED_COLUMNS = ("忽略时间", "来源报告", "记录类型", "候选作品", "文件名", "完整路径", "忽略原因", "扫描时大小(字节)", "当前大小(字节)", "扫描时修改时间", "当前修改时间")
+
+#: Options of a run where none are said.
+SETTINGS = {
+    "recursive": True, "similarity_mode": "严格作品识别（推荐）", "read_metadata": True, "hash_mode": "smart", "file_mode": "视频文件（推荐）", "name_matching_enabled": True, "comparison_scope": "all", "min_size_mb": "0", "max_size_mb": "0",
+    "skip_hidden_system": True, "skip_incomplete": True, "exclude_name_keywords": "", "custom_extensions": ";".join(x[1:] for x in VIDEO_EXTENSIONS), "excluded_directories": [], "group_column_order": [], "detail_column_order": [],
+    "window_geometry": "1280x820", "last_roots": [],
+}

@@ -75,7 +75,7 @@ def simplified(spark: SparkSession) -> tuple[str, str]:
     icu = spark._jvm.com.ibm.icu.text.Transliterator.getInstance("Traditional-Simplified")
     was = "".join(map(chr, range(0x4E00, 0xA000)))
     now = icu.transliterate(was)
-    pairs = [(a, b) for a, b in zip(was, now, strict=True) if a != b]
+    pairs = list(({a: b for a, b in zip(was, now, strict=True) if a != b} | fixed.SIMPLIFIED_TOO).items())
     return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
 
 

@@ -113,7 +113,7 @@ def with_hashes(files: DataFrame, mode: str = SMART, scope: str = "all", quick:
 
 
 def exact_groups(hashed: DataFrame, scope: str = "all") -> DataFrame:
-    """size, content_md5, part, n_files, savings (bytes that deleting all but one frees), largest savings first."""
+    """size, content_md5, part, n_files, savings (bytes that deleting all but one frees)."""
     g = keyed_groups(hashed.filter("content_md5 is not null"), ["size", "content_md5"], scope)
     return g.withColumn("savings", (F.col("n_files") - 1) * F.col("size"))
 

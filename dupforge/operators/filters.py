@@ -96,7 +96,7 @@ def is_incomplete(name: Column) -> Column:
 
 def has_keyword(name: Column, words: Iterable[str]) -> Column:
     out = F.lit(False)
-    folded = fold(name) if any(not w.isascii() for w in words) else F.lower(name)
+    folded = fold(name)
     for word in words:
         out = out | F.contains(folded, F.lit(word))
     return out

@@ -33,12 +33,33 @@ def merged_members(name_members: DataFrame, hash_members: DataFrame) -> DataFram
     return islands.unionByName(extended).unionByName(alone)
 
 
-def merged_groups(members: DataFrame, name_groups: DataFrame) -> DataFrame:
-    """group, match_kind, confidence, reason, n_files."""
-    names = name_groups.select(F.col("group").cast("string").alias("from_name"), F.col("confidence").alias("c"), F.col("reason").alias("r"))
-    g = members.join(names, "from_name", "left").groupBy("group").agg(F.count("*").alias("n_files"), F.count("from_name").alias("by_name"), F.min("c").alias("c"), F.min("r").alias("r"))
+def _remarks(groups: DataFrame, column: str) -> DataFrame:
+    """group as text, metadata_note and safety_warning where groups have them, and _o, the order of the groups."""
+    note = F.nullif(F.col("metadata_note"), F.lit("")) if "metadata_note" in groups.columns else F.lit(None).cast("string")
+    warning = F.coalesce("safety_warning", F.lit(False)) if "safety_warning" in groups.columns else F.lit(False)
+    return groups.select(F.col("group").cast("string").alias(column), F.col("group").alias("_o"), note.alias("note"), warning.alias("warning"))
+
+
+def merged_groups(members: DataFrame, name_groups: DataFrame, hash_groups: DataFrame | None = None) -> DataFrame:
+    """group, match_kind, confidence, reason, n_files, and of the groups that were merged metadata_note (different notes, in the order of
+    groups, that of equal contents first) and safety_warning (any of them)."""
+    names = _remarks(name_groups, "from_name").join(name_groups.select(F.col("group").cast("string").alias("from_name"), F.col("confidence").alias("c"), F.col("reason").alias("r")), "from_name")
+    met = members.join(names, "from_name", "left")
+    g = met.groupBy("group").agg(F.count("*").alias("n_files"), F.count("from_name").alias("by_name"), F.min("c").alias("c"), F.min("r").alias("r"), F.coalesce(F.bool_or("warning"), F.lit(False)).alias("w"))
+    said = met.filter("note is not null").groupBy("group", "note").agg(F.min("_o").alias("at"))
+    notes = said.groupBy("group").agg(F.array_sort(F.collect_list(F.struct("at", "note"))).alias("notes")).select("group", F.transform("notes", lambda x: x["note"]).alias("notes"))  # different notes of one group
+    g = g.join(notes, "group", "left")
+    if hash_groups is not None:
+        own = _remarks(hash_groups, "hash_group").select(F.concat(F.lit("hash:"), "hash_group").alias("group"), F.col("note").alias("own_note"), F.col("warning").alias("own_warning"))
+        g = g.join(own, "group", "left")
+    else:
+        g = g.withColumns({"own_note": F.lit(None).cast("string"), "own_warning": F.lit(False)})
     island = F.col("group").startswith("hash:")
     mixed = island & (F.col("by_name") > 0)
     kind = F.when(mixed, "mixed").when(island, "hash").otherwise("name")
     reason = F.when(mixed, REASONS["mixed"]).when(island, REASONS["same_content"]).otherwise(F.col("r"))
-    return g.select("group", kind.alias("match_kind"), F.when(kind == "hash", 1.0).otherwise(F.col("c")).alias("confidence"), reason.alias("reason"), "n_files")
+    all_notes = F.array_distinct(F.array_compact(F.concat(F.array("own_note"), F.coalesce("notes", F.array().cast("array<string>")))))
+    return g.select(
+        "group", kind.alias("match_kind"), F.when(kind == "hash", 1.0).otherwise(F.col("c")).alias("confidence"), reason.alias("reason"), "n_files",
+        F.array_join(all_notes, "；").alias("metadata_note"), (F.col("w") | F.coalesce("own_warning", F.lit(False))).alias("safety_warning"),
+    )

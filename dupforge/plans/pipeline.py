@@ -5,11 +5,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from dupforge.functions.names import with_path_info
 from dupforge.operators import clusters, content, merge, quality
+from dupforge.operators.order import positions
 from dupforge.scratch import Scratch
 
 
@@ -24,12 +24,8 @@ class Found:
 
 
 def indexed(files: DataFrame) -> DataFrame:
-    """files and idx, their place in the order of paths: a sort over all partitions, then the counts of those before."""
-    scratch = Scratch(files.sparkSession, "indexed")
-    placed = scratch.save(files.sort("path").withColumn("_at", F.monotonically_increasing_id()), "sorted").withColumns({"_p": F.shiftright("_at", 33), "_r": F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))})
-    counts = placed.groupBy("_p").agg(F.count("*").alias("c"))  # a row a partition
-    before = counts.select(F.col("_p").alias("_q"), (F.sum("c").over(W.orderBy("_p")) - F.col("c")).alias("_b"))
-    return placed.join(before, F.col("_p") == F.col("_q")).withColumn("idx", F.col("_r") + F.col("_b")).drop("_at", "_p", "_r", "_q", "_b")
+    """files and idx, their place in the order of paths."""
+    return positions(files, "path", name="idx", first=0)
 
 
 def find_duplicates(files: DataFrame, threshold: float = clusters.THRESHOLD, scope: str = "all", mode: str = content.SMART, by_name: bool = True) -> Found:
@@ -50,7 +46,7 @@ def find_duplicates(files: DataFrame, threshold: float = clusters.THRESHOLD, sco
     of_hash = content.members(rows.filter("content_md5 is not null"), ["size", "content_md5"], scope)
     hash_members = of_hash.join(keys, ["size", "content_md5", "part"], "left_semi").select(F.concat_ws("-", "size", "content_md5", F.md5("part")).alias("group"), "idx")
     members = scratch.save(merge.merged_members(name_members, hash_members), "members")
-    groups = merge.merged_groups(members, name_groups)
+    groups = merge.merged_groups(members, name_groups).drop("metadata_note", "safety_warning")
     full = members.join(rows, "idx").join(groups.select("group", "match_kind"), "group")
     assessed = quality.assess(full)
     groups = scratch.save(groups.join(assessed, "group").join(quality.savings(full).drop("n_files"), "group"), "groups")

@@ -91,6 +91,19 @@ def keyword_exclusion(spark, d):
     return tables.messy_files(spark, d).select("path", filters.has_keyword(F.col("name"), filters.parse_keywords(" Sample;TRAILER\nsample ")).alias("excluded"))
 
 
+@query("keyword_folding", "SELECT p_partkey, p_partkey % 4 < 3 AS excluded FROM part")
+def keyword_folding(spark, d):
+    k = F.col("p_partkey")
+    name = F.concat(F.lit("film "), k.cast("string"), F.when(k % 4 == 0, "ｓａｍｐｌｅ").when(k % 4 == 1, "SAMPLE").when(k % 4 == 2, "Straße").otherwise("other"), F.lit(".mp4"))
+    return tables.table(spark, d, "part").select("p_partkey", filters.has_keyword(name, filters.parse_keywords("sample;STRASSE")).alias("excluded"))
+
+
+@query("name_folding", "SELECT p_partkey, lower(p_name) || 'abc12 ss ' || p_partkey AS folded FROM part")
+def name_folding(spark, d):
+    k = F.col("p_partkey")
+    return tables.table(spark, d, "part").select("p_partkey", N.fold(F.concat(F.lit(" "), F.initcap("p_name"), F.when(k % 2 == 0, "ＡＢｃ１２").otherwise("abc12"), F.lit(" ß "), k.cast("string"), F.lit("\u3000"))).alias("folded"))
+
+
 @query("incomplete_names", f"WITH {MESSY} SELECT path, {_PARTIAL} AS incomplete FROM messy")
 def incomplete_names(spark, d):
     return tables.messy_files(spark, d).select("path", filters.is_incomplete(F.col("name")).alias("incomplete"))
@@ -320,13 +333,13 @@ def norm_roman_suffix(spark, d):
     return tables.table(spark, d, "part").select("p_partkey", N.arabic_suffix(F.concat_ws(" ", "p_name", roman, F.lit("1999"))).alias("title"))
 
 
-@query("disc_parent_identity", "SELECT p_partkey, 'disc:vts' || lpad((p_size % 9 + 1)::VARCHAR, 2, '0') || '-01' AS segment, 'stars-' || (p_partkey + 100) AS catalog_key, '上级影片目录' AS identity_source FROM part")
+@query("disc_parent_identity", "SELECT p_partkey, 'disc:vts' || lpad((p_size % 9 + 1)::VARCHAR, 2, '0') || '-01' AS segment, CASE WHEN p_partkey + 100 NOT BETWEEN 1900 AND 2099 THEN 'stars-' || (p_partkey + 100) END AS catalog_key, '上级影片目录' AS identity_source FROM part")
 def disc_parent_identity(spark, d):
     p = tables.table(spark, d, "part")
     path = F.concat(F.lit("/lib/STARS-"), (F.col("p_partkey") + 100).cast("string"), F.lit("/VIDEO_TS/VTS_0"), (F.col("p_size") % 9 + 1).cast("string"), F.lit("_1.VOB"))
     # numbers of four digits that look like a year are kept by the hyphen only for short prefixes
     rows = N.with_path_info(p.select("p_partkey", path.alias("path"), F.lit("/lib").alias("root")))
-    return rows.select("p_partkey", F.col("name_info.part_marker").alias("segment"), F.coalesce("name_info.catalog_key", F.concat(F.lit("stars-"), (F.col("p_partkey") + 100).cast("string"))).alias("catalog_key"), F.col("name_info.identity_source").alias("identity_source"))
+    return rows.select("p_partkey", F.col("name_info.part_marker").alias("segment"), F.col("name_info.catalog_key").alias("catalog_key"), F.col("name_info.identity_source").alias("identity_source"))
 
 
 # ---- blocks, pairs, groups
@@ -397,6 +410,28 @@ def pair_similarity(spark, d):
     return scoring.scored(blocking.candidate_pairs(files), files)
 
 
+#: Two names, and what the rules say of them.
+_JUDGED = [
+    ("ABC-123", "abc-123 1080p", 1.0, "作品编号完全相同"), ("ABC-123", "ABC-124", 0.0, "作品编号不同"), ("ABC-123", "some film", 0.0, "一侧为作品编号，另一侧为普通标题"), ("the.show.s01e02", "the.show.s01e03", 0.0, "同一系列但季集编号不同"),
+    ("the.show.s01e02", "The.Show.S01E02.720p", 1.0, "系列名称与季集编号完全相同"), ("the.show.s01e02", "other.show.s01e02", 0.0, "系列名称不同"), ("studio.2023.01.02.red.door", "studio.2023.01.03.red.door", 0.0, "同一系列但作品日期不同"),
+    ("studio.2023.01.02.red.door", "studio.2023.01.02.door.red", 0.98, "系列、日期和单集标题相同，仅词语顺序不同"), ("studio.2023.01.02", "studio.2023.01.02.red.door", 0.94, "系列与日期相同，其中一侧缺少单集标题"),
+    ("studio.2023.01.02.red.door", "studio.2023.01.02.red.door", 1.0, "系列、日期和单集标题完全相同"), ("studio.2023.01.02.red.door", "studio.2023.01.02.red.blue.door", 0.0, "系列与日期相同，但单集标题包含不同实质词语"),
+    ("studio.2023.01.02.red.door", "the.show.s01e02", 0.0, "作品身份类型不同"), ("great film part1", "great film part2", 0.0, "同一作品的分段标记不同，不作为可互删的重复文件"), ("great film 1999", "great film 2005", 0.0, "标题年份不同，为防止合并同名翻拍作品"),
+    ("great film 1999", "great film", 0.96, "标题相同，其中一侧包含发行年份"), ("great film 2", "great film 3", 0.0, "作品标题中的数字或续集编号不同"), ("great film", "Great.Film.1080p.BluRay", 1.0, "清理画质/格式标签后标题相同"),
+    ("quiet red door", "red quiet door", 0.96, "标题词语相同，仅排列顺序不同"), ("quiet red door", "quiet door", 0.0, "作品标题包含不同的实质词语"), ("wonderful picture", "zebra mountain", 0.0, "作品标题共享系列词，但包含不同的实质词语"),
+]
+
+
+@query("pair_rules", "SELECT p_partkey AS k, CASE p_partkey % 20 " + " ".join(f"WHEN {k} THEN {score}::DOUBLE" for k, (_, _, score, _) in enumerate(_JUDGED)) + " END AS score, CASE p_partkey % 20 " + " ".join(f"WHEN {k} THEN '{said}'" for k, (*_, said) in enumerate(_JUDGED)) + " END AS reason FROM part")
+def pair_rules(spark, d):
+    k = F.col("p_partkey")
+    pick = lambda side: F.get(F.array(*(F.lit(x[side]) for x in _JUDGED)), (k % 20).cast("int"))
+    p = tables.table(spark, d, "part")
+    names = p.select((2 * k).alias("idx"), pick(0).alias("stem")).unionByName(p.select((2 * k + 1).alias("idx"), pick(1).alias("stem")))
+    pairs = p.select((2 * k).alias("i"), (2 * k + 1).alias("j"))
+    return scoring.scored(pairs, N.with_name_info(names, "stem")).select(F.floor(F.col("i") / 2).alias("k"), "score", "reason")
+
+
 # equal scores of 0.96 or more join titles with the same set of words; within it candidates are connected
 @query("name_components", f"""WITH RECURSIVE {RULED}, e AS (SELECT i AS a, j AS b FROM ruled WHERE score >= 0.9 UNION SELECT j, i FROM ruled WHERE score >= 0.9),
   ways AS (SELECT a AS node, a AS low FROM e UNION SELECT e.b, w.low FROM ways w JOIN e ON e.a = w.node WHERE w.low < e.b)
@@ -450,6 +485,20 @@ def merged_groups(spark, d):
     return merge.merged_groups(members, groups).select("group", "n_files", "match_kind")
 
 
+@query("merged_notes", f"""WITH {MERGE}, n AS (SELECT *, CASE WHEN length(from_name) % 3 = 0 THEN 'note ' || length(from_name) WHEN length(from_name) % 3 = 1 THEN '' END AS note, length(from_name) % 5 = 0 AS warned FROM merged),
+  d AS (SELECT "group", note, min(from_name) AS least FROM n WHERE note <> '' GROUP BY ALL), t AS (SELECT "group", string_agg(note, '；' ORDER BY least) AS notes FROM d GROUP BY 1)
+  SELECT n."group", concat_ws('；', CASE WHEN n."group" LIKE 'hash:%' AND length(n."group") % 2 = 0 THEN 'same' END, any_value(t.notes)) AS metadata_note,
+    coalesce(bool_or(n.warned), false) OR (n."group" LIKE 'hash:%' AND length(n."group") % 7 = 0) AS safety_warning
+  FROM n LEFT JOIN t ON n."group" = t."group" GROUP BY n."group" """)
+def merged_notes(spark, d):
+    names, members = _merged(spark, d)
+    n = F.length("group")
+    groups = names.select("group").distinct().withColumns({"confidence": F.lit(0.95), "reason": F.lit("x"), "metadata_note": F.when(n % 3 == 0, F.concat(F.lit("note "), n.cast("string"))).when(n % 3 == 1, ""), "safety_warning": n % 5 == 0})
+    hashes = members.filter("group like 'hash:%'").select(F.substring("group", 6, 1000).alias("group")).distinct()
+    hashes = hashes.withColumns({"metadata_note": F.when((F.length("group") + 5) % 2 == 0, "same"), "safety_warning": (F.length("group") + 5) % 7 == 0})
+    return merge.merged_groups(members, groups, hashes).select("group", "metadata_note", "safety_warning")
+
+
 # ---- quality and decisions
 
 _HEIGHT = "CASE p_size % 4 WHEN 0 THEN 1080 WHEN 1 THEN 720 END"
@@ -529,9 +578,13 @@ def _snapshot(spark, d):
     return then, now
 
 
-SNAP = f"""s AS (SELECT p_partkey AS k, p_partkey // 4 AS g, '/v/' || p_partkey AS path, CASE WHEN p_partkey % 3 = 0 THEN '保留' WHEN p_partkey % 3 = 1 OR p_size % 2 = 0 THEN '删除' ELSE '未决定' END AS action,
-  CASE WHEN p_partkey % 11 = 0 THEN '{planning.MISSING}' WHEN p_partkey % 17 = 0 THEN '{planning.LINK}' WHEN p_partkey % 13 = 0 THEN '{planning.NOT_REGULAR}' WHEN p_partkey % 7 = 0 THEN '{planning.RESIZED}'
-    WHEN p_partkey % 5 = 0 AND p_partkey % 2 = 0 THEN '{planning.MODIFIED}' END AS issue FROM part)"""
+SNAP = """s AS (SELECT p_partkey AS k, p_partkey // 4 AS g, '/v/' || p_partkey AS path, CASE WHEN p_partkey % 3 = 0 THEN '保留' WHEN p_partkey % 3 = 1 OR p_size % 2 = 0 THEN '删除' ELSE '未决定' END AS action,
+  floor(p_retailprice * 1000)::BIGINT AS size,
+  CASE WHEN p_partkey % 11 = 0 THEN '文件不存在（可能已移动或已经删除）' WHEN p_partkey % 17 = 0 THEN '路径已变为符号链接，已按安全规则忽略' WHEN p_partkey % 13 = 0 THEN '路径当前不是普通文件，已按安全规则忽略'
+    WHEN p_partkey % 7 = 0 THEN '文件大小已变化（扫描时 ' || floor(p_retailprice * 1000)::BIGINT || ' 字节，当前 ' || (floor(p_retailprice * 1000)::BIGINT + 1) || ' 字节）'
+    WHEN p_partkey % 5 = 0 AND p_partkey % 2 = 0 THEN '文件修改时间已变化' END AS issue FROM part)"""
+PLAN = f"""{SNAP}, g AS (SELECT g, count_if(action = '删除' AND issue IS NULL)::BIGINT AS ready, count_if(action <> '删除')::BIGINT AS others, count_if(action <> '删除' AND issue IS NULL)::BIGINT AS intact FROM s GROUP BY g),
+  m AS (SELECT *, action = '删除' AS marked, others > 0 AND intact = 0 AND ready > 0 AS clash FROM s JOIN g USING (g))"""
 
 
 @query("snapshot_inspection", f"WITH {SNAP} SELECT path, issue FROM s")
@@ -539,15 +592,74 @@ def snapshot_inspection(spark, d):
     return planning.inspected(*_snapshot(spark, d)).select("path", "issue")
 
 
-@query("deletion_plan", f"""WITH {SNAP}, g AS (SELECT g, count_if(action = '删除' AND issue IS NULL)::BIGINT AS ready, count_if(action <> '删除')::BIGINT AS others, count_if(action <> '删除' AND issue IS NULL)::BIGINT AS intact FROM s GROUP BY g),
-  m AS (SELECT *, action = '删除' AS marked, others > 0 AND intact = 0 AND ready > 0 AS clash FROM s JOIN g USING (g)), p AS (
+@query("deletion_plan", f"""WITH {PLAN}, p AS (
   SELECT path, CASE WHEN marked AND (issue IS NOT NULL OR others = 0 OR clash) THEN 'ignored' WHEN marked THEN 'ready' WHEN clash AND issue IS NOT NULL THEN 'survivor_issue' END AS status,
-    CASE WHEN marked AND issue IS NOT NULL THEN issue WHEN marked AND others = 0 THEN '{planning.NO_SURVIVOR}' WHEN marked AND clash THEN '{planning.NONE_INTACT}' WHEN NOT marked AND clash THEN '原保留/非删除文件状态异常：' || issue END AS message FROM m)
+    CASE WHEN marked AND issue IS NOT NULL THEN issue WHEN marked AND others = 0 THEN '候选组没有保留或未删除文件，为防止整组被删除已自动忽略' WHEN marked AND clash THEN '候选组中没有状态正常的保留文件，为防止整组被删除已自动忽略'
+      WHEN NOT marked AND clash THEN '原保留/非删除文件状态异常：' || issue END AS message FROM m)
   SELECT path, status, message FROM p WHERE status IS NOT NULL""")
 def deletion_plan(spark, d):
     return planning.plan(*_snapshot(spark, d)).select("path", "status", "message")
 
 
+@query("conflict_choices", f"""WITH {PLAN}, c AS (SELECT *, CASE WHEN g >= 300 THEN 'all' WHEN g % 3 = 0 THEN 'one' ELSE 'none' END AS choice FROM m), p AS (
+  SELECT path, CASE WHEN marked AND (issue IS NOT NULL OR others = 0) THEN 'ignored' WHEN marked AND clash THEN CASE choice WHEN 'none' THEN 'ignored' ELSE 'ready' END WHEN marked THEN 'ready' WHEN clash AND issue IS NOT NULL THEN 'survivor_issue' END AS status,
+    CASE WHEN marked AND issue IS NOT NULL THEN issue WHEN marked AND others = 0 THEN '候选组没有保留或未删除文件，为防止整组被删除已自动忽略' WHEN marked AND clash AND choice = 'none' THEN '原保留文件状态异常，用户选择安全忽略本组'
+      WHEN NOT marked AND clash THEN '原保留/非删除文件状态异常：' || issue || CASE choice WHEN 'all' THEN '；用户选择本次后续同类情况全部继续' WHEN 'one' THEN '；用户选择仅本组继续' ELSE '；用户选择安全忽略本组' END END AS message FROM c)
+  SELECT path, status, message FROM p WHERE status IS NOT NULL""")
+def conflict_choices(spark, d):
+    then, now = _snapshot(spark, d)
+    choices = then.select("group").distinct().filter("group % 3 = 0 OR group >= 300").withColumn("choice", F.when(F.col("group") == 300, "continue_all").when(F.col("group") == 303, "cancel").when(F.col("group") % 3 == 0, "continue").otherwise("ignore"))
+    return planning.resolved(planning.plan(then, now, "report"), choices.unionByName(spark.createDataFrame([(300, "continue_all")], choices.schema)).distinct()).select("path", "status", "message")
+
+
+@query("deletion_preview", f"""WITH {PLAN}, r AS (SELECT * FROM m WHERE marked AND issue IS NULL AND others > 0 AND NOT clash)
+  SELECT count(*) AS files, coalesce(sum(size), 0)::BIGINT AS bytes, count(DISTINCT g) FILTER (WHERE g % 5 = 0) AS warning_groups, greatest(count(*) - 8, 0) AS more,
+    (SELECT string_agg(substr(path, 4), chr(10) ORDER BY g, path) FROM (SELECT g, path FROM r ORDER BY g, path LIMIT 8)) AS names FROM r""")
+def deletion_preview(spark, d):
+    then, now = _snapshot(spark, d)
+    groups = then.select("group").distinct().withColumn("safety_warning", F.col("group") % 5 == 0)
+    return planning.preview(planning.plan(then, now).filter("status = 'ready'"), groups)
+
+
+@query("ignored_list", f"""WITH {SNAP} SELECT '2024-01-02T03:04:05' AS at, '当前扫描结果' AS source, CASE WHEN action = '删除' THEN '删除标记已忽略' ELSE '原保留/非删除文件异常' END AS kind, 'g' || g AS title, k::VARCHAR AS name, path, issue AS message, size::VARCHAR AS size,
+  strftime(to_timestamp(k) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%S') AS modified FROM s WHERE issue IS NOT NULL""")
+def ignored_list(spark, d):
+    wrong = planning.inspected(*_snapshot(spark, d)).filter("issue is not null")
+    none = F.lit(None)
+    items = wrong.select(F.concat(F.lit("g"), F.col("group").cast("string")).alias("group_name"), "path", F.col("issue").alias("message"), (F.col("action") != fixed.DELETE).alias("preserve_action"), "size", none.cast("long").alias("size_now"), "mtime", none.cast("double").alias("mtime_now"))
+    r = report.ignored_rows(items, "2024-01-02T03:04:05")
+    return r.select(*(F.col(f"`{a}`").alias(b) for a, b in (("忽略时间", "at"), ("来源报告", "source"), ("记录类型", "kind"), ("候选作品", "title"), ("文件名", "name"), ("完整路径", "path"), ("忽略原因", "message"), ("扫描时大小(字节)", "size"), ("扫描时修改时间", "modified"))))
+
+
+_MARKS = "SELECT p_partkey // 4 AS g, p_partkey AS k, CASE WHEN p_partkey % 3 = 0 THEN '保留' WHEN p_partkey % 3 = 1 OR p_size % 2 = 0 THEN '删除' ELSE '未决定' END AS action, p_size % 3 = 0 AS hit FROM part"
+
+
+def _marks(spark, d):
+    rows = _snapshot(spark, d)[0].withColumn("idx", F.substring("path", 4, 20).cast("long"))
+    chosen = tables.table(spark, d, "part").filter("p_size % 3 = 0").select(F.floor(F.col("p_partkey") / 4).alias("group"), F.col("p_partkey").alias("idx"))
+    return rows.select("group", "idx", "action"), chosen
+
+
+@query("mark_delete", f"WITH m AS ({_MARKS}) SELECT k AS idx, CASE WHEN hit AND count_if(NOT hit AND action <> '删除') OVER (PARTITION BY g) > 0 THEN '删除' ELSE action END AS action FROM m")
+def mark_delete(spark, d):
+    return quality.mark(*_marks(spark, d), fixed.DELETE).select("idx", "action")
+
+
+@query("mark_keep", f"WITH m AS ({_MARKS}) SELECT k AS idx, CASE WHEN hit THEN '保留' WHEN action = '保留' AND bool_or(hit) OVER (PARTITION BY g) THEN '未决定' ELSE action END AS action FROM m")
+def mark_keep(spark, d):
+    return quality.mark(*_marks(spark, d), fixed.KEEP).select("idx", "action")
+
+
+@query("mark_pending", f"WITH m AS ({_MARKS}) SELECT k AS idx, CASE WHEN hit THEN '未决定' ELSE action END AS action FROM m")
+def mark_pending(spark, d):
+    return quality.mark(*_marks(spark, d), fixed.UNDECIDED).select("idx", "action")
+
+
+@query("mark_refused", f"""WITH m AS ({_MARKS}) SELECT g AS "group" FROM m GROUP BY g HAVING bool_or(hit) AND count_if(NOT hit AND action <> '删除') = 0""")
+def mark_refused(spark, d):
+    return quality.refused(*_marks(spark, d))
+
+
 @query("post_delete_state", f"""WITH {SNAP}, o AS (SELECT *, CASE k % 4 WHEN 0 THEN 'succeeded' WHEN 1 THEN 'ignored' ELSE 'failed' END AS result FROM s WHERE action = '删除'), l AS (
   SELECT s.g, s.path, CASE o.result WHEN 'ignored' THEN '忽略' WHEN 'failed' THEN '未决定' ELSE s.action END AS action FROM s LEFT JOIN o USING (path) WHERE coalesce(o.result, '') <> 'succeeded')
   SELECT path, action FROM l QUALIFY count(*) OVER (PARTITION BY g) >= 2""")
@@ -571,6 +683,73 @@ def display_sort_groups(spark, d):
     return quality.display_order(quality.savings(_films(spark, d)), "estimated_savings", "group", True).select("group", "position")
 
 
+@query("groups_by_savings", f"""WITH {RANKED}, g AS (SELECT p_name, count(*) AS n, sum(size)::BIGINT AS total, arg_max(size, (pixels, container, size)) AS kept FROM r GROUP BY p_name)
+  SELECT p_name AS "group", row_number() OVER (ORDER BY CASE WHEN n >= 2 THEN total - kept ELSE 0 END DESC, n DESC, p_name) AS number FROM g""")
+def groups_by_savings(spark, d):
+    return quality.numbered(quality.savings(_films(spark, d))).select("group", "number")
+
+
+_BY = {"name": "lower(name)", "size": "size", "resolution": "nullif(pixels, 0)", "duration": "CASE WHEN p_size % 7 <> 0 THEN 3600.0 + (p_partkey % 1000) * 0.5 END", "format": "ext", "modified": "p_partkey", "folder": "lower(folder)", "action": "p_partkey % 4", "codec": "CASE WHEN p_size % 2 = 0 THEN 'hevc' END"}
+_SORTED = f"""{RANKED}, f AS (SELECT *, CASE p_size % 3 WHEN 0 THEN '.mkv' WHEN 1 THEN '.mp4' ELSE '.avi' END AS ext, '/films/' || replace(lower(p_brand), '#', '') || '/' || (p_partkey % 10) || '/v' || p_partkey AS folder,
+  translate(p_name, ' ', '.') || CASE p_size % 4 WHEN 0 THEN '.1080p' WHEN 1 THEN '.720p.BluRay' WHEN 2 THEN '.x265' ELSE '' END || CASE p_size % 3 WHEN 0 THEN '.mkv' WHEN 1 THEN '.mp4' ELSE '.avi' END AS name FROM r),
+  p AS (SELECT *, lower(folder || '/' || name) AS path FROM f)"""
+
+
+@query("display_sort_columns", f"WITH {_SORTED} " + " UNION ALL ".join(f"SELECT '{k}' AS by, p_partkey, row_number() OVER (ORDER BY {v} DESC NULLS LAST, CASE WHEN {v} IS NOT NULL THEN path END DESC, path) AS position FROM p" for k, v in _BY.items()))
+def display_sort_columns(spark, d):
+    k = F.col("p_partkey") % 4
+    action = F.when(k == 0, fixed.UNDECIDED).when(k == 1, fixed.KEEP).when(k == 2, fixed.DELETE).otherwise(fixed.IGNORE)
+    none = F.lit(None).cast("int")
+    files = _films(spark, d).withColumns({"width": none, "height": none, "action": action, "codec": F.when(F.col("p_size") % 2 == 0, "HEVC")})
+    out = None
+    for by in _BY:
+        one = quality.sorted_files(files, by, True).select(F.lit(by).alias("by"), "p_partkey", F.col("position"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("exact_set_counts", """WITH s AS (SELECT p_name, CASE WHEN length(p_name) % 2 = 0 THEN p_name ELSE p_partkey::VARCHAR END AS m, count(*) AS n FROM part GROUP BY ALL) SELECT p_name AS "group", count_if(n >= 2)::BIGINT AS exact_sets FROM s GROUP BY p_name""")
+def exact_set_counts(spark, d):
+    return quality.exact_sets(_films(spark, d))
+
+
+@query("display_name_override", f"""WITH {TITLES}, t AS (SELECT p_name, p_partkey, array_to_string(tokens, ' ') AS shown, CASE p_partkey % 5 WHEN 0 THEN 'said ' || p_partkey WHEN 1 THEN '  ' END AS said FROM titles)
+  SELECT p_name AS "group", coalesce(arg_min(trim(said), p_partkey) FILTER (WHERE trim(said) <> ''), arg_min(shown, (length(shown), p_partkey))) AS display_name FROM t GROUP BY p_name""")
+def display_name_override(spark, d):
+    rows = tables.part_titles(spark, d).join(tables.table(spark, d, "part").select("p_partkey", "p_name"), "p_partkey").withColumn("stem", N.stem(F.col("name")))
+    k = F.col("p_partkey")
+    said = F.when(k % 5 == 0, F.concat(F.lit(" said "), k.cast("string"))).when(k % 5 == 1, "  ")
+    return quality.display_names(N.with_name_info(rows, "stem").select(F.col("p_name").alias("group"), k.alias("pos"), "name_info", said.alias("display_name_override")))
+
+
+@query("match_labels", "SELECT l_orderkey, l_linenumber, CASE l_linenumber % 4 WHEN 0 THEN 'MD5' WHEN 1 THEN '混合' ELSE '作品身份' END AS label FROM lineitem")
+def match_labels(spark, d):
+    n = F.col("l_linenumber") % 4
+    return tables.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", labels.match_label(F.when(n == 0, "hash").when(n == 1, "mixed").when(n == 2, "name")).alias("label"))
+
+
+@query("filter_summary_text", f"""WITH {JUDGED}, c AS (SELECT folder, count_if(reason = 'too_small') AS s, count_if(reason = 'too_large') AS l, count_if(reason = 'extension') AS e, count_if(reason = 'hidden_system') AS h, count_if(reason = 'incomplete') AS i, count_if(reason = 'keyword') AS k FROM judged GROUP BY folder)
+  SELECT folder, coalesce(nullif(concat_ws('、', CASE WHEN s > 0 THEN '小文件 ' || s::BIGINT END, CASE WHEN l > 0 THEN '超大文件 ' || l::BIGINT END, CASE WHEN e > 0 THEN '非目标类型 ' || e::BIGINT END, CASE WHEN h > 0 THEN '隐藏/系统文件 ' || h::BIGINT END,
+    CASE WHEN i > 0 THEN '临时/未完成文件 ' || i::BIGINT END, CASE WHEN k > 0 THEN '关键字排除 ' || k::BIGINT END), ''), '未筛除文件') AS summary FROM c""")
+def filter_summary_text(spark, d):
+    judged = filters.waterfall(tables.messy_files(spark, d), OPTIONS)
+    counts = judged.groupBy("folder").agg(*(F.count_if(F.col("reason") == r).alias(f"skipped_{r}") for r in filters.REASONS))
+    return filters.summary(counts).select("folder", "summary")
+
+
+@query("pasted_paths", """SELECT p_partkey, '/films/' || p_name || '|' || '/v/' || p_partkey AS paths FROM part""")
+def pasted_paths(spark, d):
+    text = F.concat(F.lit('  "/films/'), F.col("p_name"), F.lit("\"\r\n\n  \n'/v/"), F.col("p_partkey").cast("string"), F.lit("' "))
+    return tables.table(spark, d, "part").select("p_partkey", F.array_join(settings.pasted_paths(text), "|").alias("paths"))
+
+
+@query("first_group_of_file", 'SELECT p_partkey AS idx, least(p_partkey % 7, p_size) AS "group" FROM part')
+def first_group_of_file(spark, d):
+    p = tables.table(spark, d, "part")
+    rows = p.select(F.col("p_partkey").alias("idx"), (F.col("p_partkey") % 7).alias("group")).unionByName(p.select(F.col("p_partkey").alias("idx"), F.col("p_size").cast("long").alias("group")))
+    return merge.unique_members(rows, "group").select("idx", "group")
+
+
 @query("format_bytes_duration", """SELECT l_orderkey, l_linenumber, CASE WHEN b < 1024 THEN b::BIGINT || ' B' WHEN b < 1048576 THEN printf('%.2f KB', b / 1024) WHEN b < 1073741824 THEN printf('%.2f MB', b / 1048576) ELSE printf('%.2f GB', b / 1073741824) END AS size_text,
   CASE WHEN s >= 3600 THEN lpad((s // 3600)::VARCHAR, 2, '0') || ':' ELSE '' END || lpad((s % 3600 // 60)::VARCHAR, 2, '0') || ':' || lpad((s % 60)::VARCHAR, 2, '0') AS duration_text
   FROM (SELECT l_orderkey, l_linenumber, floor(l_extendedprice * l_quantity * 1000)::DOUBLE AS b, round_even(l_extendedprice / 10, 0)::BIGINT AS s FROM lineitem)""")
@@ -594,11 +773,24 @@ REPORTED = f"""{TITLES}, t AS (SELECT *, array_to_string(tokens, ' ') AS shown,
   '/films/' || replace(lower(p_brand), '#', '') || '/' || (p_partkey % 10) || '/v' || p_partkey AS folder, translate(p_name, ' ', '.') || {_TAG} || CASE p_size % 3 WHEN 0 THEN '.mkv' WHEN 1 THEN '.mp4' ELSE '.avi' END AS name FROM titles)"""
 
 
-@query("report_rows", f"""WITH {REPORTED} SELECT number::VARCHAR AS group_number, folder || '/' || name AS path, shown AS work, CASE WHEN length(p_name) % 3 = 0 THEN '完整 MD5' ELSE '影视标题' END AS basis, '98.5%' AS confidence,
-  floor(p_retailprice * 1000)::BIGINT::VARCHAR AS size, CASE p_size % 3 WHEN 0 THEN 'MKV' WHEN 1 THEN 'MP4' ELSE 'AVI' END AS format FROM t""")
+#: The report's columns, in their order, as the query below calls them.
+_REPORT = (
+    "group_number title basis reason note review confidence action name work identity source source_text work_key catalog_key segment series_key episode_date episode_id path folder size md5 md5_state relation resolution duration codec format modified "
+    "snapshot version"
+).split()
+_RESOLUTION = "CASE p_size % 4 WHEN 0 THEN '约 1080P（文件名）' WHEN 1 THEN '约 720P（文件名）' ELSE '未知' END"
+_LASTING = "CASE WHEN p_size % 7 <> 0 THEN (3600.0 + (p_partkey % 1000) * 0.5)::DOUBLE END"
+_STEM = f"translate(p_name, ' ', '.') || {_TAG}"
+_MD5 = "md5(CASE WHEN length(p_name) % 2 = 0 THEN p_name ELSE folder || '/' || name END)"
+
+
+@query("report_rows", f"""WITH {REPORTED} SELECT number::VARCHAR AS group_number, p_name AS title, CASE WHEN length(p_name) % 3 = 0 THEN '完整 MD5' ELSE '影视标题' END AS basis, '清理画质/格式标签后标题相同' AS reason, '' AS note, '否' AS review, '98.5%' AS confidence,
+  '未决定' AS action, name, shown AS work, '影视标题' AS identity, '文件名' AS source, {_STEM} AS source_text, array_to_string(tokens, '') AS work_key, '' AS catalog_key, '' AS segment, '' AS series_key, '' AS episode_date, '' AS episode_id,
+  folder || '/' || name AS path, folder, floor(p_retailprice * 1000)::BIGINT::VARCHAR AS size, {_MD5} AS md5, '完整 MD5' AS md5_state, 'MD5已验证（组内不同）' AS relation, {_RESOLUTION} AS resolution, coalesce({_LASTING}::VARCHAR, '') AS duration,
+  '' AS codec, CASE p_size % 3 WHEN 0 THEN 'MKV' WHEN 1 THEN 'MP4' ELSE 'AVI' END AS format, strftime(to_timestamp(p_partkey) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%S') AS modified, CASE WHEN p_partkey % 2 = 0 THEN p_partkey || '.0' ELSE '' END AS snapshot, '0.1.0' AS version FROM t""")
 def report_rows(spark, d):
     r = _report(spark, d)
-    return r.select(*(F.col(f"`{a}`").alias(b) for a, b in (("候选组", "group_number"), ("完整路径", "path"), ("识别作品", "work"), ("身份/依据", "basis"), ("置信度", "confidence"), ("大小(字节)", "size"), ("格式", "format"))))
+    return r.select(*(F.col(f"`{a}`").alias(b) for a, b in zip(fixed.REPORT_COLUMNS, _REPORT, strict=True)))
 
 
 @query("report_roundtrip_parse", f"""WITH {REPORTED} SELECT folder || '/' || name AS path, floor(p_retailprice * 1000)::BIGINT AS size, p_partkey::DOUBLE AS mtime, CASE WHEN p_partkey % 2 = 0 THEN 'exact' ELSE 'seconds' END AS time_precision,
@@ -635,7 +827,14 @@ def part_labels(spark, d):
     return tables.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", labels.part_label(marker).alias("label"))
 
 
-@query("file_information")
+@query("file_information", f"""WITH {REPORTED}, v AS (SELECT *, floor(p_retailprice * 1000)::BIGINT AS size, {_LASTING} AS sec, {_STEM} AS stem, folder || '/' || name AS path FROM t), x AS (SELECT *, round_even(sec, 0)::BIGINT AS r FROM v)
+  SELECT path, array_to_string(['【文件】', '文件名：' || name, '完整路径：' || path, '所在目录：' || folder, '扩展名：' || upper(substr(right(name, 4), 2)),
+    '文件大小：' || CASE WHEN size < 1024 THEN size || ' B' WHEN size < 1048576 THEN printf('%.2f KB', size / 1024) ELSE printf('%.2f MB', size / 1048576) END || '（' || format('{{:,}}', size) || ' 字节）', '当前状态：未知',
+    '扫描时修改时间：' || strftime(to_timestamp(p_partkey) AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S'), '', '【媒体信息】', '分辨率：' || {_RESOLUTION},
+    '视频时长：' || CASE WHEN sec IS NULL THEN '未知' ELSE lpad((r // 3600)::VARCHAR, 2, '0') || ':' || lpad((r % 3600 // 60)::VARCHAR, 2, '0') || ':' || lpad((r % 60)::VARCHAR, 2, '0') || '（' || printf('%.2f', sec) || ' 秒）' END,
+    '视频编码：h264', '', '【哈希信息】', '完整 MD5：' || {_MD5}, 'MD5 状态：完整 MD5', '组内内容关系：MD5已验证（组内不同）', '', '【名称解析】', '身份类型：影视标题', '身份来源：文件名（' || stem || '）', '识别作品：' || shown,
+    '作品身份键：' || array_to_string(tokens, ''), '作品编号：未识别', '归一化标题：' || array_to_string(tokens, ''), '匹配别名：' || array_to_string(tokens, ''), '分段标记：未标分段', '系列名称键：无', '单集日期：无', '季集编号：无', '识别年份：无', '',
+    '【候选组】', '候选作品：' || p_name, '置信度：96.0%', '匹配原因：', '辅助提示：无', '重点复核：否', '当前决定：未决定'], chr(10)) AS information FROM x""")
 def file_information(spark, d):
     films = N.with_name_info(_films(spark, d).withColumn("stem", N.stem(F.col("name"))), "stem")
     members = films.withColumns({"action": F.lit(fixed.UNDECIDED), "hash_source": F.lit(fixed.HASH_FULL), "same_md5": F.lit(1), "width": F.lit(None).cast("int"), "height": F.lit(None).cast("int"), "codec": F.lit("h264"), "state": F.lit("")}).drop("match_kind")

@@ -26,17 +26,24 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Tables of one run. They lie in the shared folder, so a lost executor loses none of them."""
+    """Tables of one run. They lie in the shared folder, so a lost executor loses none of them, and are deleted when the driver's JVM ends."""
 
     def __init__(self, spark: SparkSession, label: str):
-        self.spark, self.top = spark, f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+        self.spark, self.top, self.kept = spark, f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}", False
+
+    def _place(self, name: str = ""):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.top}/{name}" if name else self.top)
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.top}/{name}"
         df.write.option("compression", "zstd").parquet(path)
+        if not self.kept:
+            top, fs = self._place()
+            self.kept = fs.deleteOnExit(top)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:
         """For tables that no later step reads."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.top}/{name}")
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        path, fs = self._place(name)
+        fs.delete(path, True)

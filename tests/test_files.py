@@ -89,8 +89,23 @@ def test_plan_and_execute(spark, tmp_path):
     ready = spark.createDataFrame(ready.collect(), ready.schema)
     done = planning.execute(ready, str(tmp_path / "log.jsonl"))
     assert [r["result"] for r in done] == ["succeeded"]
-    assert not (tmp_path / "del.mp4").exists() and os.path.exists(done[0]["message"]) and (tmp_path / "keep.mp4").exists()
-    assert planning.execute(ready)[0]["result"] == "ignored"
+    assert done[0]["message"].startswith(fixed.MOVED) and os.path.exists(done[0]["message"][len(fixed.MOVED) :])
+    assert not (tmp_path / "del.mp4").exists() and (tmp_path / "keep.mp4").exists()
+    again = planning.execute(ready, folders=[str(tmp_path / "lists")], ignored=spark.createDataFrame([("w", "/v/1", "why", True, 1, None, 0.5, None)], report.IGNORED_ITEMS))
+    assert [(r["result"], r["message"]) for r in again] == [("ignored", fixed.MISSING)]
+    (listed,) = (tmp_path / "lists").iterdir()
+    lines = listed.read_text(encoding="utf-8-sig").splitlines()
+    assert len(lines) == 3 and "/v/1" in lines[1] and fixed.MISSING in lines[2]
+    put(tmp_path, {"del.mp4": b"22"})
+    assert planning.execute(ready)[0]["message"] == "文件大小已变化（扫描时 1 字节，当前 2 字节）"
+    conflict = planning.plan(members, current, "report")
+    choose = lambda c: planning.resolved(conflict, spark.createDataFrame([("h", c)], "group string, choice string"))
+    assert choose("cancel") is None and choose("ignore").filter("status = 'ready'").count() == 1 and choose("continue").filter("status = 'ready'").count() == 2
+    put(tmp_path, {"q/a.mp4": b"1"})
+    places = [planning.quarantine(str(tmp_path / "q" / "a.mp4"), "s")]
+    put(tmp_path, {"q/a.mp4": b"2"})
+    places.append(planning.quarantine(str(tmp_path / "q" / "a.mp4"), "s"))
+    assert [os.path.basename(p) for p in places] == ["a.mp4", "a_1.mp4"] and open(places[0], "rb").read() == b"1"
     assert quality.without_survivor(spark.createDataFrame([("x", fixed.DELETE), ("x", fixed.DELETE), ("y", fixed.KEEP)], "group string, action string")).collect()[0]["group"] == "x"
 
 
