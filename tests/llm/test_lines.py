@@ -1,31 +1,29 @@
 import random
+from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from dupforge.llm import line_dedup as L
 
 
 def by_hand(rows, min_words):
-    """Deleted lines of each row: runs of min_words words that are there before, by (doc_id, row, line). rows: (doc_id, text), in order of rows."""
+    """Deleted lines of each row: all runs of min_words words or more that are there before, by (doc_id, row, line). rows: (doc_id, text), in order of rows."""
     seqs = []
     for k, (doc_id, text) in enumerate(rows):
         seqs.append((k, doc_id, [(p, x.strip(" \t\r\x0b\f")) for p, x in enumerate((text or "").split("\n")) if x.strip(" \t\r\x0b\f")]))
-    first, starts = {}, []
+    seen, gone = set(), {}
     for k, doc_id, seq in sorted(seqs, key=lambda s: (s[1] is not None, s[1] or 0, s[0])):
         for i in range(len(seq)):
-            words, j = 0, i
-            while j < len(seq) and words < min_words:
+            words, runs = 0, []
+            for j in range(i, len(seq)):
                 words += len(seq[j][1].split())
-                j += 1
-            if words >= min_words:
-                key = tuple(x for _, x in seq[i:j])
-                if key in first:
-                    starts.append((k, i, j))
-                else:
-                    first[key] = (k, i)
-    gone = {}
-    for k, i, j in starts:
-        gone.setdefault(k, set()).update(seqs[k][2][x][0] for x in range(i, j))
+                if words >= min_words:
+                    runs.append(tuple(x for _, x in seq[i : j + 1]))
+            for run in runs:
+                if run in seen:
+                    gone.setdefault(k, set()).update(seq[x][0] for x in range(i, i + len(run)))
+            seen.update(runs)
     return gone
 
 
@@ -55,4 +53,26 @@ def test_documents(spark, docs, odd, empty):
     assert out == {1: rows[0][1], 2: "another end", 3: rows[2][1], 4: "before\n"}
     cut = L.drop_repeated_runs(odd)
     assert cut.columns == odd.columns and cut.count() == odd.count() and L.by_document(odd).count() == odd.count()
+
+
+def test_ends_of_runs_go(spark):
+    """The last lines of a repeated run have fewer than 50 words by themselves."""
+    say = lambda n, k: " ".join(f"w{k}x{j}" for j in range(n))
+    for sizes in ((93, 2), (20, 20, 20, 5), (60, 1, 1, 1, 1, 1, 1, 1), (25, 25, 49), (1,) * 99):
+        passage = "\n".join(say(n, k) for k, n in enumerate(sizes))
+        longer = passage + "\nand one line more that two have"
+        texts = [longer, f"start\n{passage}\nother", passage, f"{longer}\nend"]
+        df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+        out = {r["doc_id"]: r["text"] for r in L.drop_repeated_runs(df).collect()}
+        assert out == {0: longer, 1: "start\nother", 2: "", 3: "end"}
+
+
+def test_rows_that_repeat(spark, odd, empty):
+    more = odd.filter("doc_id = 4").withColumn("text", F.lit("\n".join(" ".join(f"line{k}word{j}" for j in range(17)) for k in range(4)) + "\n \nrest"))
+    df = odd.unionByName(more)
+    rows = df.collect()
+    want = sorted(Counter((rows[k]["doc_id"], len(v)) for k, v in by_hand([(r["doc_id"], r["text"]) for r in rows], 50).items()).items())
+    got = sorted(Counter((r["doc_id"], r["n_deleted_lines"]) for r in L.by_document(df).collect() if r["n_deleted_lines"]).items())
+    assert got == want == [((4, 5), 1)]
+    assert sorted(r["text"] for r in L.drop_repeated_runs(df).filter("doc_id = 4").collect())[0] == " "
     assert L.by_document(empty).count() == 0 and L.drop_repeated_runs(empty).count() == 0
