@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dupforge.llm.common import Scratch, documents, fold_ascii, levels, numbered
+from dupforge.llm.common import Scratch, documents, fold_ascii, levels, numbered, steady
 
 BLOCK_BYTES = 4096
 
@@ -76,8 +76,8 @@ def name_documents(docs: DataFrame, block_bytes: int = BLOCK_BYTES, digest_bits:
     return scratch.save(short.unionByName(info.filter(many).drop("first").join(done, "row_id").select(*short.columns)), "identities")
 
 
-def _grouped(docs: DataFrame, block_bytes: int, digest_bits: int = 128) -> DataFrame:
-    scratch = Scratch(docs.sparkSession, "exact-dedup")
+def _grouped(docs: DataFrame, block_bytes: int, digest_bits: int = 128, scratch: Scratch | None = None) -> DataFrame:
+    scratch = scratch or Scratch(docs.sparkSession, "exact-dedup")
     named = name_documents(docs, block_bytes, digest_bits, scratch)
     key = ["n_bytes", "name"]
     groups = scratch.save(named.groupBy(*key).agg(F.count("*").alias("group_size"), F.max(F.struct("doc_id", "row_id")).alias("best")), "groups")
@@ -86,12 +86,15 @@ def _grouped(docs: DataFrame, block_bytes: int, digest_bits: int = 128) -> DataF
 
 def exact_groups(docs: DataFrame, block_bytes: int = BLOCK_BYTES, digest_bits: int = 128) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 for every input row."""
-    return _grouped(docs, block_bytes, digest_bits).drop("row_id")
+    scratch = Scratch(docs.sparkSession, "exact-dedup")
+    return _grouped(steady(docs.select("doc_id", "text"), scratch), block_bytes, digest_bits, scratch).drop("row_id")
 
 
 def drop_exact_copies(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of docs that stay, with their columns. docs has to be a table that reads alike each time: rows are known by their places in it."""
-    keep = _grouped(docs, block_bytes).filter("kept").select(F.col("row_id").alias("_row"))
+    """The rows of docs that stay, with their columns."""
+    scratch = Scratch(docs.sparkSession, "exact-dedup")
+    docs = steady(docs, scratch)
+    keep = _grouped(docs, block_bytes, scratch=scratch).filter("kept").select(F.col("row_id").alias("_row"))
     return numbered(docs).join(keep, "_row", "left_semi").select("doc.*")
 
 

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dupforge.llm.common import Scratch, documents, numbered
+from dupforge.llm.common import Scratch, documents, numbered, steady
 from dupforge.operators.components import components
 
 SHINGLE = 3
@@ -205,7 +205,8 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, b
 
 
 def drop_near_copies(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """The rows of docs that stay, with their columns: of each group the document with the least doc_id, once. Rows without doc_id stay. docs has to be a table that reads alike each time: rows are known by their places in it."""
+    """The rows of docs that stay, with their columns: of each group the document with the least doc_id, once. Rows without doc_id stay."""
+    docs = steady(docs, Scratch(docs.sparkSession, "simhash"))
     groups = near_groups(docs, shingle, radius)
     least = groups.filter("doc_id = component_id").groupBy("doc_id").agg(F.min("row_id").alias("_row")).select("_row")
     keep = least.unionByName(groups.filter("doc_id is null").select(F.col("row_id").alias("_row")))
