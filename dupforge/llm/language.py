@@ -210,7 +210,8 @@ def train(docs: DataFrame, train_docs: int = TRAIN_DOCS, train_chars: int = TRAI
     labelled = docs.filter(F.col("lang").isNotNull()).select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
     chosen = lowest(labelled, "lang", train_docs).orderBy("h", "lang").limit(train_docs * MAX_LANGS).select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang")).distinct()
     same = (docs["doc_id"] == F.col("_id")) & (docs["lang"] == F.col("_lang"))
-    rows = docs.join(F.broadcast(chosen), same).filter(F.length("text") <= train_chars).select("doc_id", "text", F.col("_lang").alias("lang")).collect()  # train_docs a language
+    rows = docs.join(F.broadcast(chosen), same).filter(F.length("text") <= train_chars).select("doc_id", "text", F.col("_lang").alias("lang"))
+    rows = rows.groupBy("doc_id", "lang").agg(F.min("text").alias("text")).collect()  # train_docs a language, however often a doc_id is there
     rows.sort(key=lambda r: (str(r["lang"]), str(r["doc_id"]), r["text"]))
     return fit([r["text"] for r in rows], [r["lang"] for r in rows])
 
