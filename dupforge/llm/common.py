@@ -55,7 +55,7 @@ def with_text(docs: DataFrame, text: Column, changed: Column) -> list[Column]:
 
 def lowest(rows: DataFrame, by: str, n: int, salts: int = 64) -> DataFrame:
     """A sample of n rows at most of each value of by: those whose h is lowest, of 4 * n / salts at most from each of as many salts. rows: doc_id, h.
-    The first pass deals each value to several tasks, and each of them passes on so few that the last one gets 4 * n at most."""
+    The first pass deals each value to several tasks, and each of them passes on so few that the last one gets 4 * n at most. Ties go by doc_id; null values of by are a value; rows that repeat count each; an empty table gives an empty one."""
     nth = lambda *keys: F.row_number().over(W.partitionBy(*keys).orderBy("h", "doc_id"))
     some = rows.withColumn("salt", F.pmod("h", F.lit(salts))).withColumn("nth", nth(by, "salt")).filter(F.col("nth") <= -(-4 * n // salts))
     return some.withColumn("nth", nth(by)).filter(F.col("nth") <= n).drop("salt", "nth")

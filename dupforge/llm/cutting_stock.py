@@ -272,7 +272,7 @@ def solve(lengths: np.ndarray, demand: np.ndarray, capacity: int) -> Program:
 
 
 def plan(histogram: dict[int, int], capacity: int) -> Plan:
-    """histogram: documents by the tokens that are left of them beside whole sequences, 1 to capacity - 1."""
+    """histogram: documents by the tokens that are left of them beside whole sequences, 1 to capacity - 1; other lengths and counts of 0 are ignored, an empty histogram gives an empty plan, and equal histograms give equal plans."""
     out = Plan(capacity)
     lengths = np.array(sorted(k for k, n in histogram.items() if n and 0 < k < capacity), np.int64)
     if not len(lengths):

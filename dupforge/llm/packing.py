@@ -9,8 +9,9 @@ which a cut is cheaper (it is priced as ten tokens of padding) are laid in one s
 Ranks are made without bringing a length together: each task ranks its own rows while it encodes them, and the counts of the
 tasks before it are added. Only the histogram, at most 1023 numbers, comes to the driver.
 
-Defined results: null text is empty: one piece, the id 0; rows that repeat are packed each; a null doc_id stays null; extra
-columns are ignored; an empty table gives an empty table.
+Defined results: null text is empty: one piece, the id 0; rows that repeat are packed each; a null doc_id stays null; of ties,
+documents of one length, the order of tasks and rows decides which place is taken; extra columns are ignored; an empty table gives
+an empty table.
 """
 
 from __future__ import annotations
@@ -95,7 +96,8 @@ def pack(docs: DataFrame, tokenizer: str = TOKENIZER, size: int = SEQUENCE) -> D
     left_before = counts.select("task", "left", before("docs", W.partitionBy("left").orderBy("task")).alias("left_before"))
     offsets = scratch.save(left_before.join(full_before, "task"), "offsets")
     how = plan(histogram, size)
-    placed = encoded.join(offsets, ["task", "left"]).select("doc_id", "n", "crcs", "left", "rest", "nth_left", "nth_full", "left_before", "full_before")
+    # merged whatever its size: the offsets grow with the tasks
+    placed = encoded.join(offsets.hint("merge"), ["task", "left"]).select("doc_id", "n", "crcs", "left", "rest", "nth_left", "nth_full", "left_before", "full_before")
     return placed.mapInArrow(lambda b: _place(b, how), ", ".join(f"`{f.name}` long" for f in PIECES))
 
 
