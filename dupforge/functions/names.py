@@ -65,7 +65,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def fold(text: Column) -> Column:
     """NFKC, stripped, case-folded. ASCII stays with the JVM."""
-    ascii_ = F.octet_length(text) == F.char_length(text)
+    ascii_ = is_ascii(text)
     return F.when(ascii_, F.btrim(F.lower(text), F.lit(" \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f"))).otherwise(_fold_unicode(F.when(~ascii_, text)))
 
 
@@ -80,7 +80,11 @@ def simplified(spark: SparkSession) -> tuple[str, str]:
 
 
 def to_simplified(text: Column, pairs: tuple[str, str]) -> Column:
-    return F.when(F.octet_length(text) == F.char_length(text), text).otherwise(F.translate(text, *pairs))
+    return F.when(is_ascii(text), text).otherwise(F.translate(text, *pairs))
+
+
+def is_ascii(text: Column) -> Column:
+    return F.octet_length(text) == F.char_length(text)
 
 
 def first(text: Column, pattern: str, group: int) -> Column:
@@ -97,12 +101,13 @@ def number(digits: Column) -> Column:
 
 
 def is_noise(token: Column) -> Column:
-    return (token == "") | token.rlike(f"^{NOISE}$")
+    return token.isin("", *fixed.NOISE_TOKENS, *fixed.RELEASE_GROUPS) | token.rlike(f"^(?:{'|'.join(fixed.NOISE_PATTERNS)})$")
 
 
 def unpromoted(text: Column) -> Column:
-    out = F.regexp_replace(F.btrim(text, F.lit(" \t\n\r\x0b\x0c")), f"^(?:{PROMOTION}[-_. ·]*)+", "")
-    return F.regexp_replace(out, f"(?:[-_. ·]*{PROMOTION})+$", "")
+    """All promotion is Chinese, so ASCII has none."""
+    inside = lambda t: F.regexp_replace(F.regexp_replace(t, f"^(?:{PROMOTION}[-_. ·]*)+", ""), f"(?:[-_. ·]*{PROMOTION})+$", "")
+    return let(F.btrim(text, F.lit(" \t\n\r\x0b\x0c")), lambda t: F.when(is_ascii(t), t).otherwise(inside(t)))
 
 
 def unbracketed(text: Column) -> Column:
@@ -111,16 +116,18 @@ def unbracketed(text: Column) -> Column:
 
 def meaningful(fragment: Column) -> Column:
     """Words that say something: no brands, brackets, promotion or noise."""
-    value = unpromoted(unbracketed(F.regexp_replace(fragment, BRAND, " ")))
+    value = let(fragment, lambda x: unpromoted(unbracketed(F.when(is_ascii(x), x).otherwise(F.regexp_replace(x, BRAND, " ")))))
     return F.filter(F.split(value, KEPT), lambda t: ~is_noise(t))
 
 
 def without_domains(text: Column) -> Column:
-    return F.translate(F.regexp_replace(text, DOMAIN, " "), "@", " ")
+    return let(text, lambda t: F.translate(F.when(F.contains(t, F.lit(".")), F.regexp_replace(t, DOMAIN, " ")).otherwise(t), "@", " "))
 
 
 def without_phrases(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(text, BRAND, " "), COMPOUND, " "), fixed.NOISE_PHRASES, " ")
+    """Brands and compounds are Chinese, so ASCII has neither."""
+    chinese = lambda t: F.regexp_replace(F.regexp_replace(t, BRAND, " "), COMPOUND, " ")
+    return F.regexp_replace(let(text, lambda t: F.when(is_ascii(t), t).otherwise(chinese(t))), fixed.NOISE_PHRASES, " ")
 
 
 _ROMAN = "(?<![a-z0-9])(x|ix|viii|vii|vi|v|iv|iii|ii|i)(?![a-z0-9])"
@@ -131,7 +138,7 @@ _AFTER_WORD = rf"(?s)^(.*(?<![a-z])(?:{'|'.join(fixed.ORDINAL_WORDS)})[^a-z]*?){
 
 def arabic_suffix(text: Column) -> Column:
     """One Roman numeral made Arabic, where it counts a sequel."""
-    return let(text, _arabic_suffix)
+    return let(text, lambda t: F.when(t.rlike(_ROMAN), _arabic_suffix(t)).otherwise(t))
 
 
 def _arabic_suffix(text: Column) -> Column:
@@ -218,7 +225,8 @@ def long_series(text: Column) -> Column:
 
 
 def episode(text: Column) -> Column:
-    return F.coalesce(dated_episode(text), season_episode(text), numbered_episode(text), long_series(text))
+    """Every kind of episode has a digit."""
+    return F.when(text.rlike("[0-9]"), F.coalesce(dated_episode(text), season_episode(text), numbered_episode(text), long_series(text)))
 
 
 _CATALOG = "struct<key: string, tail: string>"
@@ -258,7 +266,7 @@ def part_marker(text: Column, tail: Column) -> Column:
     last = r"(?:_|-)0*([1-9]|1[0-9]|20)\s*$"
     marker = lambda only: (
         F.when(found(text, PART), F.concat(F.lit("part"), first(text, PART, 1)))
-        .when(found(text, CHINESE_PART), F.concat(F.lit("segment:"), F.regexp_replace(first(text, CHINESE_PART, 1), r"\s+", "")))
+        .when(~is_ascii(text) & found(text, CHINESE_PART), F.concat(F.lit("segment:"), F.regexp_replace(first(text, CHINESE_PART, 1), r"\s+", "")))
         .when(only.rlike("^0*[1-9][0-9]?$"), F.concat(F.lit("part"), number(only)))
         .when(only.isin("a", "b"), F.concat(F.lit("segment:"), F.upper(only)))
         .when(tail.rlike(last), F.concat(F.lit("part"), F.regexp_extract(tail, last, 1)))
@@ -307,8 +315,10 @@ def with_name_info(df: DataFrame, stem: str, out: str = "name_info") -> DataFram
     """df and a struct of identity fields of the name in column stem. A null name is an empty one."""
     pairs = simplified(df.sparkSession)
     raw = F.coalesce(F.col(stem), F.lit(""))
-    info = let(fold(raw), lambda f: let(cleaned(f, pairs), lambda v: let(episode(v), lambda e: let(F.when(e.isNull(), catalog(v)), lambda c: _info(F.col("_raw"), v, e, c)))))
-    rows = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_in"), raw.alias("_raw"), raw.alias(stem))
+    rows = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_in"), raw.alias("_raw"))
+    # step by step in columns of their own, each worked out once
+    rows = rows.withColumn("_clean", cleaned(fold(F.col("_raw")), pairs)).withColumn("_episode", episode(F.col("_clean"))).withColumn("_catalog", F.when(F.col("_episode").isNull(), catalog(F.col("_clean"))))
+    info = _info(F.col("_raw"), F.col("_clean"), F.col("_episode"), F.col("_catalog"))
     return rows.select(*(F.col(f"_in.`{c}`") for c in df.columns if c != out), info.alias(out))
 
 
