@@ -17,38 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dupforge.functions import fixed
-
-CJK = "㐀-鿿"
-KEPT = f"[^0-9a-z{CJK}]+"
-NOISE = "(?:" + "|".join((*fixed.NOISE_TOKENS, *fixed.RELEASE_GROUPS, *fixed.NOISE_PATTERNS)) + ")"
-EDGE = r"[\s._\-\[\]()（）【】]"
-PART = rf"(?:^|{EDGE})(?:cd|disc|disk|part|pt)[\s._-]*0*([1-9][0-9]?)(?:$|{EDGE})"
-CHINESE_PART = rf"(?:^|{EDGE})({fixed.PARTS_OF_A_WORK}|第\s*[一二三四五六七八九十0-9]+\s*[部集段篇])(?:$|{EDGE})"
-DOMAIN = rf"(?:https?://)?(?:www\.)?(?:[a-z0-9-]+\.)+(?:{fixed.DOMAINS})(?::[0-9]+)?(?:/[^\s\[\]【】()]*)?"
-BRAND = r"(?:^|[\s._-])(?:big|fun)?[0-9]{3,5}(?:社区|论坛|論壇)(?=$|[\s._-])"
-COMPOUND = "|".join(fixed.COMPOUND_NOISE)
-PROMOTION = "(?:" + "|".join(fixed.PROMOTIONS) + ")"
-YEAR = r"(?<![0-9])((?:19|20)[0-9]{2})(?![0-9])"
-FULL_DATE = r"(?<![0-9])((?:19|20)[0-9]{2}|[0-9]{2})[\s._-]+(0?[1-9]|1[0-2])[\s._-]+(0?[1-9]|[12][0-9]|3[01])(?![0-9])"
-COMPACT_DATE = r"(?:^|[\s._-])((?:19|20)[0-9]{6})(?=$|[\s._-])"
-SEASON_EPISODE = r"(?:^|[\s._-])s(?:eason)?[\s._-]*0*([0-9]{1,2})[\s._-]*e(?:pisode)?[\s._-]*0*([0-9]{1,3})(?=$|[\s._-])"
-X_EPISODE = r"(?:^|[\s._-])0*([0-9]{1,2})x0*([0-9]{1,3})(?=$|[\s._-])"
-EPISODES = (
-    r"(?:^|[\s._-])(?:e|ep|episode)[\s._-]*0*([0-9]{1,4})(?=$|[\s._-])",
-    r"(?:^|[\s._-])第\s*0*([0-9]{1,4})\s*集(?=$|[\s._-])",
-    r"(?:^|[\s._-])\(\s*0*([0-9]{1,5})\s*\)(?=$|[\s._-])",
-)
-LONG_SERIES = r"(?<![a-z0-9])([a-z]{8,})[\s._-]*0*([0-9]{2,6})(?![a-z0-9])"
-FC2 = r"(?<![a-z0-9])fc2[\s._-]*ppv[\s._-]*([0-9]{3,9})(?![0-9])"
-STREAMING = rf"(?<![a-z0-9])({fixed.STREAMING_FAMILIES})[\s._-]*([0-9]{{6}})[\s._-]+([0-9]{{1,4}})(?![0-9])"
-TOKYO = r"(?<![a-z0-9])tokyo[\s._-]*hot[\s._-]*n[\s._-]*([0-9]{3,6})(?![0-9])"
-# the rest of the text comes along as a group, by looking ahead
-SEPARATED = r"(?<![a-z0-9])([a-z][a-z0-9]{1,11})([\s._-]+)([0-9]{1,7})(?![0-9])(?=(.*))"
-COMPACT = r"(?<![a-z0-9])([a-z]{2,12})()([0-9]{2,7})(?![0-9])(?=(.*))"
-SEGMENT_FOLDER = r"^(?:cd|disc|disk|dvd|part|pt)[\s._-]*0*([1-9][0-9]?)$"
-DVD_STEM = r"^vts[\s._-]*0*([0-9]{1,2})[\s._-]+0*([0-9]{1,2})$"
-DISC_STEM = r"^(video[\s._-]*ts|audio[\s._-]*ts|avseq|mpegav|title|track)[\s._-]*0*([0-9]{0,4})$"
-NUMERIC_STEM = r"^0*([0-9]{1,6})$"
+from dupforge.functions.fixed import BRAND, CHINESE_PART, CJK, COMPACT, COMPACT_DATE, COMPOUND, DISC_STEM, DOMAIN, DVD_STEM, EPISODES, FC2, FULL_DATE, KEPT, LONG_SERIES, NOISE, NUMERIC_STEM, PART, PROMOTION, SEASON_EPISODE, SEGMENT_FOLDER, SEPARATED, STREAMING, TOKYO, X_EPISODE, YEAR
 
 FROM_NAME, FROM_FOLDER, FROM_NOWHERE = "文件名", "上级影片目录", "上级目录不足"
 

@@ -1,8 +1,8 @@
 """Exact duplicates by content: size buckets, then a fingerprint of three spans, then the MD5 of all, each only where the step before
 found company.
 
-With the content in a column all of this is DataFrame operations: contents are read once, hashed where they are read, and never
-shuffled; what the steps decide is which hashes count. Files on disk are read by read_fingerprints() and read_md5(), the latter only
+With the content in a column all of this is DataFrame operations: contents are hashed where they are read, and never shuffled; what a
+step may leave out it knows by marks of bounded size. Files on disk are read by read_fingerprints() and read_md5(), the latter only
 where it is needed. Buckets are counted with partial aggregates and written before they are joined back, so that adaptive execution
 can split a size that a third of all files share.
 """
@@ -93,23 +93,50 @@ def blake2_of_content(content: pd.Series, size: pd.Series) -> pd.Series:
     return pd.Series([one(c or b"", n) for c, n in zip(content, size, strict=True)])
 
 
+#: Places in a set of marks. It is made of pieces of 4 KB, so it may be broadcast whatever it was made of.
+MARKS = 1 << 20
+
+
+def _place(*keys: str) -> dict[str, Column]:
+    h = F.pmod(F.xxhash64(*keys), F.lit(MARKS))
+    return {"_piece": F.bitmap_bucket_number(h), "_bit": F.bitmap_bit_position(h)}
+
+
+def maybe_in(rows: DataFrame, keys: DataFrame, *by: str) -> DataFrame:
+    """rows and maybe: whether keys may have the row's values of by. It is never false where they have them, and seldom true where they don't; nothing of rows is shuffled."""
+    marks = keys.select(*by).withColumns(_place(*by)).groupBy("_piece").agg(F.bitmap_construct_agg("_bit").alias("_marks"))  # MARKS bits at most
+    met = rows.withColumns(_place(*by)).join(F.broadcast(marks), "_piece", "left")
+    byte = F.conv(F.hex(F.substring("_marks", (F.floor(F.col("_bit") / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    bit = byte.bitwiseAND(F.pow(F.lit(2), F.col("_bit") % 8).cast("int")) != 0
+    return met.withColumn("maybe", F.coalesce(bit, F.lit(False))).drop("_piece", "_bit", "_marks")
+
+
 def with_hashes(files: DataFrame, mode: str = SMART, scope: str = "all", quick: Column | None = None) -> DataFrame:
-    """files without content, and quick, content_md5, hash_source. smart: the MD5 only where fingerprints agree; deep: of all candidates."""
+    """files without content, and quick, content_md5, hash_source. First sizes are counted, without contents. Then contents are looked
+    at where a size isn't alone: fingerprints, and of small files the MD5 too. Last, of large files the MD5 where fingerprints agree
+    (smart) or of all candidates (deep). Paths are unique."""
     if checked(mode) == OFF:
         return files.drop("content").withColumns({"quick": F.lit(None).cast("string"), "content_md5": F.lit(None).cast("string"), "hash_source": F.lit(fixed.HASH_NONE)})
     scratch = Scratch(files.sparkSession, "hashes")
-    made = files.withColumns({"part": partition_key(scope), "_quick": quick if quick is not None else quick_of_content(F.col("content"), F.col("size")), "_md5": F.md5(F.col("content").cast("binary"))})
-    rows = scratch.save(made.drop("content"), "hashed")
     groups = lambda r, *keys: r.groupBy(*keys, "part").agg(*group_aggregates()).filter(group_allowed(scope)).select(*keys, "part")
-    buckets = scratch.save(groups(rows, "size").withColumn("same_size", F.lit(True)), "sizes")
-    rows = rows.join(buckets, ["size", "part"], "left")
+    files = files.withColumn("part", partition_key(scope))
+    small, md5 = F.col("size") <= 3 * fixed.SAMPLE_BYTES, F.md5(F.col("content").cast("binary"))
+    taken = quick if quick is not None else quick_of_content(F.col("content"), F.col("size"))
+    buckets = scratch.save(groups(files, "size").withColumn("same_size", F.lit(True)), "sizes")
+    looked = maybe_in(files, buckets, "size", "part").withColumns({"_quick": F.when(F.col("maybe"), taken), "_md5": F.when(F.col("maybe") & small, md5)})
+    rows = scratch.save(looked.drop("content", "maybe"), "looked-at").join(buckets, ["size", "part"], "left")
     alike = scratch.save(groups(rows.filter("same_size"), "size", "_quick").withColumn("same_quick", F.lit(True)), "fingerprints")
     rows = rows.join(alike, ["size", "_quick", "part"], "left")
-    candidate, small = F.coalesce("same_size", F.lit(False)), F.col("size") <= 3 * fixed.SAMPLE_BYTES
+    candidate = F.coalesce("same_size", F.lit(False))
     wanted = candidate & (F.coalesce("same_quick", F.lit(False)) | small | F.lit(mode == DEEP))
-    source = F.when(~candidate, fixed.HASH_NONE).when(small, fixed.HASH_SMALL).when(wanted, fixed.HASH_FULL).otherwise(fixed.HASH_DIFFERENT)
-    out = {"quick": F.when(candidate, F.col("_quick")), "content_md5": F.when(wanted, F.col("_md5")), "hash_source": source}
-    return rows.withColumns(out).drop("same_size", "same_quick", "part", "_quick", "_md5")
+    rows = scratch.save(rows.withColumns({"candidate": candidate, "wanted": wanted}), "judged")
+    large = rows.filter(F.col("wanted") & ~small)
+    if not large.isEmpty():
+        again = maybe_in(files.filter(~small), large, "path").filter("maybe").select("path", md5.alias("_full"))
+        rows = rows.join(scratch.save(again, "full"), "path", "left").withColumn("_md5", F.coalesce("_md5", "_full")).drop("_full")
+    source = F.when(~F.col("candidate"), fixed.HASH_NONE).when(small, fixed.HASH_SMALL).when(F.col("wanted"), fixed.HASH_FULL).otherwise(fixed.HASH_DIFFERENT)
+    out = {"quick": F.when(F.col("candidate"), F.col("_quick")), "content_md5": F.when(F.col("wanted"), F.col("_md5")), "hash_source": source}
+    return rows.withColumns(out).drop("same_size", "same_quick", "part", "_quick", "_md5", "candidate", "wanted")
 
 
 def exact_groups(hashed: DataFrame, scope: str = "all") -> DataFrame:

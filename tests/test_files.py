@@ -76,6 +76,21 @@ def test_hash_modes_on_disk(spark, tmp_path):
     assert content.exact_duplicates_on_disk(scanned(spark, tmp_path), "off").count() == 0
 
 
+def test_only_candidates_are_hashed(spark):
+    """A content that is looked at without need is an error."""
+    big = 3 * fixed.SAMPLE_BYTES
+    rows = [("/a", 4, "same"), ("/b", 4, "same"), ("/c", 4, "diff"), ("/lone", 5, None), *((f"/big{k}", big + 9, x) for k, x in enumerate("xxy")), ("/lone-big", big + 10, None)]
+    df = spark.createDataFrame(rows, "path string, size long, seed string").withColumns({"root": F.lit("/"), "folder": F.lit("/"), "name": F.substring("path", 2, 99)})
+    df = df.withColumn("content", F.when(F.col("size") > 99, F.rpad(F.coalesce("seed", F.lit("")), big + 9, ".")).otherwise(F.coalesce("seed", F.lit("12345")))).drop("seed")
+    quick = F.when(F.contains(F.col("path"), F.lit("lone")), F.raise_error(F.lit("looked at"))).otherwise(content.quick_of_content(F.col("content"), F.col("size")))
+    with pytest.raises(Exception, match="looked at"):
+        df.select(quick).collect()
+    got = {m: {r["path"]: (r["quick"] is not None, r["content_md5"] is not None, r["hash_source"]) for r in content.with_hashes(df, m, quick=quick).collect()} for m in content.MODES}
+    alone, full, small = (False, False, fixed.HASH_NONE), (True, True, fixed.HASH_FULL), (True, True, fixed.HASH_SMALL)
+    smart = {"/a": small, "/b": small, "/c": small, "/lone": alone, "/big0": full, "/big1": full, "/big2": (True, False, fixed.HASH_DIFFERENT), "/lone-big": alone}
+    assert got == {"off": dict.fromkeys(smart, alone), "smart": smart, "deep": smart | {"/big2": full}}
+
+
 def test_plan_and_execute(spark, tmp_path):
     put(tmp_path, {"keep.mp4": b"1", "del.mp4": b"1", "lone1.mp4": b"1", "lone2.mp4": b"1"})
     files = {r["name"]: r for r in scanned(spark, tmp_path).collect()}
@@ -85,6 +100,9 @@ def test_plan_and_execute(spark, tmp_path):
     status = {os.path.basename(r["path"]): r["status"] for r in planning.plan(members, current).collect()}
     assert status == {"del.mp4": "ready", "lone1.mp4": "ignored", "lone2.mp4": "survivor_issue"}
     assert planning.plan(members, current, "continue").filter("status = 'ready'").count() == 2
+    conflict = planning.plan(members, current, "report")
+    choose = lambda c: planning.resolved(conflict, spark.createDataFrame([("h", c)], "group string, choice string"))
+    assert choose("cancel") is None and choose("ignore").filter("status = 'ready'").count() == 1 and choose("continue").filter("status = 'ready'").count() == 2
     ready = planning.plan(members, current).filter("status = 'ready'")
     ready = spark.createDataFrame(ready.collect(), ready.schema)
     done = planning.execute(ready, str(tmp_path / "log.jsonl"))
@@ -98,9 +116,6 @@ def test_plan_and_execute(spark, tmp_path):
     assert len(lines) == 3 and "/v/1" in lines[1] and fixed.MISSING in lines[2]
     put(tmp_path, {"del.mp4": b"22"})
     assert planning.execute(ready)[0]["message"] == "文件大小已变化（扫描时 1 字节，当前 2 字节）"
-    conflict = planning.plan(members, current, "report")
-    choose = lambda c: planning.resolved(conflict, spark.createDataFrame([("h", c)], "group string, choice string"))
-    assert choose("cancel") is None and choose("ignore").filter("status = 'ready'").count() == 1 and choose("continue").filter("status = 'ready'").count() == 2
     put(tmp_path, {"q/a.mp4": b"1"})
     places = [planning.quarantine(str(tmp_path / "q" / "a.mp4"), "s")]
     put(tmp_path, {"q/a.mp4": b"2"})
