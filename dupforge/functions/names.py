@@ -284,10 +284,9 @@ def with_name_info(df: DataFrame, stem: str, out: str = "name_info") -> DataFram
     """df and a struct of identity fields of the name in column stem. A null name is an empty one."""
     pairs = simplified(df.sparkSession)
     raw = F.coalesce(F.col(stem), F.lit(""))
-    rows = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_in"), raw.alias("_raw"))
-    # step by step in columns of their own, each worked out once
-    rows = rows.withColumn("_clean", cleaned(fold(F.col("_raw")), pairs)).withColumn("_episode", episode(F.col("_clean"))).withColumn("_catalog", F.when(F.col("_episode").isNull(), catalog(F.col("_clean"))))
-    info = _info(F.col("_raw"), F.col("_clean"), F.col("_episode"), F.col("_catalog"))
+    # by let, not in columns of their own: a filter on the result would be pushed below those, with all that they stand for
+    info = let(fold(raw), lambda f: let(cleaned(f, pairs), lambda v: let(episode(v), lambda e: let(F.when(e.isNull(), catalog(v)), lambda c: _info(F.col("_raw"), v, e, c)))))
+    rows = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_in"), raw.alias("_raw"), raw.alias(stem))
     return rows.select(*(F.col(f"_in.`{c}`") for c in df.columns if c != out), info.alias(out))
 
 
