@@ -9,7 +9,8 @@ its mean over them.
 The model is fitted on the driver, in numpy, on TRAIN_DOCS documents of each language at most (those whose hashed doc_id is
 lowest, and whose texts have at most TRAIN_CHARS characters); everything else covers all rows and whole texts.
 
-Defined results: a text that is null or has no letter gives und with score 0; rows that repeat give rows that repeat; a null
+Defined results: a text that is null or has no letter gives und with score 0; rows that repeat give rows that repeat, and are learnt
+from once, though they may take others' places in the choice; a null
 doc_id is held out, as if it were an empty text; extra columns are ignored; an empty table gives an empty table; without any
 row to learn from, every text is und.
 """
