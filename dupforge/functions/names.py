@@ -69,8 +69,18 @@ def number(digits: Column) -> Column:
     return F.regexp_replace(digits, "^0+(?=.)", "")
 
 
+def among(word: Column, words: tuple[str, ...]) -> Column:
+    """isin() for words without blanks, by one literal: each place that uses a list would have a node of the plan for each of its words."""
+    return F.contains(F.lit(f" {' '.join(words)} "), F.concat(F.lit(" "), word, F.lit(" ")))
+
+
 def is_noise(token: Column) -> Column:
-    return token.isin("", *fixed.NOISE_TOKENS, *fixed.RELEASE_GROUPS) | token.rlike(f"^(?:{'|'.join(fixed.NOISE_PATTERNS)})$")
+    return (token == "") | among(token, (*fixed.NOISE_TOKENS, *fixed.RELEASE_GROUPS)) | token.rlike(f"^(?:{'|'.join(fixed.NOISE_PATTERNS)})$")
+
+
+def kept(text: Column) -> Column:
+    """What lies between KEPT. Other than split(), this doesn't compile its pattern for each text."""
+    return F.regexp_extract_all(text, F.lit(f"[0-9a-z{CJK}]+"), F.lit(0))
 
 
 def unpromoted(text: Column) -> Column:
@@ -86,7 +96,7 @@ def unbracketed(text: Column) -> Column:
 def meaningful(fragment: Column) -> Column:
     """Words that say something: no brands, brackets, promotion or noise."""
     value = let(fragment, lambda x: unpromoted(unbracketed(F.when(is_ascii(x), x).otherwise(F.regexp_replace(x, BRAND, " ")))))
-    return F.filter(F.split(value, KEPT), lambda t: ~is_noise(t))
+    return F.filter(kept(value), lambda t: ~is_noise(t))
 
 
 def without_domains(text: Column) -> Column:
@@ -207,7 +217,7 @@ def _catalog_matches(text: Column, pattern: str, compact: bool) -> Column:
 
     def valid(r: Column) -> Column:
         hyphen = F.contains(r["sep"], F.lit("-"))
-        listed = r["prefix"].isin(*fixed.NON_CATALOG_PREFIXES)
+        listed = among(r["prefix"], tuple(fixed.NON_CATALOG_PREFIXES))
         short = (F.length(r["digits"]) < 3) & F.lit(not compact) & ~hyphen
         height = r["digits"].isin(*fixed.HEIGHTS) & (r["tail"].rlike("^[pi]") | r["prefix"].isin(*fixed.HEIGHT_PREFIXES))
         year = r["digits"].rlike("^(?:19|20)[0-9]{2}$") & (F.lit(compact) | ~hyphen | (F.length(r["prefix"]) > 3))
@@ -231,7 +241,7 @@ def catalog(text: Column) -> Column:
 
 def part_marker(text: Column, tail: Column) -> Column:
     """tail: what lies behind a catalog key, or null."""
-    words = F.filter(F.split(tail, KEPT), lambda t: ~is_noise(t))
+    words = F.filter(kept(tail), lambda t: ~is_noise(t))
     last = r"(?:_|-)0*([1-9]|1[0-9]|20)\s*$"
     marker = lambda only: (
         F.when(found(text, PART), F.concat(F.lit("part"), first(text, PART, 1)))
@@ -247,13 +257,13 @@ def release_years(text: Column, key: Column) -> Column:
     all_ = F.regexp_extract_all(text, F.lit(YEAR), F.lit(1))
     rest = F.regexp_replace(text, rf"(?s)^(.*){YEAR}(.*)$", "$1 $3")
     leading = (F.size(all_) == 1) & text.rlike(rf"^\s*{YEAR}")
-    some = key.isNull() & (F.size(all_) > 0) & ~leading & (F.size(F.filter(F.split(unpromoted(unbracketed(rest)), KEPT), lambda t: ~is_noise(t))) > 0)
+    some = key.isNull() & (F.size(all_) > 0) & ~leading & (F.size(F.filter(kept(unpromoted(unbracketed(rest))), lambda t: ~is_noise(t))) > 0)
     return F.when(some, F.array(F.try_element_at(all_, F.lit(-1)).cast("int"))).otherwise(F.array().cast("array<int>"))
 
 
 def raw_tokens(text: Column) -> Column:
     """Words of a title: no noise and no part markers. Here _ is part of a word."""
-    words = F.filter(F.split(unpromoted(unbracketed(text)), rf"(?U)[^\w{CJK}]+"), lambda t: t != "")
+    words = F.regexp_extract_all(unpromoted(unbracketed(text)), F.lit(rf"(?U)[\w{CJK}]+"), F.lit(0))
     return F.filter(words, lambda t: ~is_noise(t) & ~F.concat(F.lit(" "), t, F.lit(" ")).rlike(PART))
 
 
@@ -280,8 +290,17 @@ NAME = (
 )
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df, dealt anew if it is read from fewer files than there are tasks to run at once: names take far more time than bytes, and
+    Spark deals by bytes. A table of many files is left as it is, and isn't shuffled."""
+    spark = df.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(tasks) if len(df.inputFiles()) < tasks else df
+
+
 def with_name_info(df: DataFrame, stem: str, out: str = "name_info") -> DataFrame:
     """df and a struct of identity fields of the name in column stem. A null name is an empty one."""
+    df = spread(df)
     pairs = simplified(df.sparkSession)
     raw = F.coalesce(F.col(stem), F.lit(""))
     # by let, not in columns of their own: a filter on the result would be pushed below those, with all that they stand for
