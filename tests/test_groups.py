@@ -1,6 +1,7 @@
 """Pairs, groups, merging."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +10,8 @@ from dupforge.functions import names as N
 from dupforge.functions.fixed import REASONS
 from dupforge.operators import blocking, clusters, merge, scoring
 
+from .conftest import DATA
+
 
 def files(spark, names, folders=None, roots=None):
     folders = folders or ["/r"] * len(names)
@@ -104,3 +107,24 @@ def test_merge_is_as_by_hand(spark):
     kinds = {r["group"]: r["match_kind"] for r in merge.merged_groups(members, ng).collect()}
     for g, kind in kinds.items():
         assert kind == ("name" if g.startswith("name:") else "mixed" if len(got[g]) > 3 else "hash")
+
+
+def broadcasts(spark, monkeypatch, name):
+    """First keys of the broadcast joins in all plans of a query: those of tables it writes on the way, and its own."""
+    from dupforge.plans.queries import QUERIES
+    from dupforge.scratch import Scratch
+
+    plans, save = [], Scratch.save
+    plan = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString())
+    monkeypatch.setattr(Scratch, "save", lambda self, df, name: (plan(df), save(self, df, name))[1])
+    plan(QUERIES[name](spark, DATA))
+    return {key for p in plans for key in re.findall(r"BroadcastHashJoin \[\w*\(*(\w+)#", p)} | {"loop" for p in plans if "BroadcastNestedLoopJoin" in p}
+
+
+#: Counts of sorted partitions: a row a partition.
+BOUNDED = {"_p", "p"}
+
+
+@pytest.mark.parametrize("name", ["sorted_neighbourhood"])
+def test_broadcasts_no_table_that_grows(spark, monkeypatch, name):
+    assert broadcasts(spark, monkeypatch, name) <= BOUNDED
