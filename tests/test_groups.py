@@ -125,6 +125,6 @@ def broadcasts(spark, monkeypatch, name):
 BOUNDED = {"_p", "p"}
 
 
-@pytest.mark.parametrize("name", ["sorted_neighbourhood"])
+@pytest.mark.parametrize("name", ["sorted_neighbourhood", "candidate_pairs_capped"])
 def test_broadcasts_no_table_that_grows(spark, monkeypatch, name):
     assert broadcasts(spark, monkeypatch, name) <= BOUNDED
