@@ -10,7 +10,7 @@ from dupforge.operators.blocking import candidate_pairs
 from dupforge.operators.components import components
 from dupforge.operators.scopes import checked, pair_allowed
 from dupforge.operators.scoring import scored
-from dupforge.scratch import Scratch
+from dupforge.scratch import Scratch, merged
 
 MIN_THRESHOLD, THRESHOLD = 0.60, 0.90
 
@@ -24,24 +24,24 @@ def anchor_split(files: DataFrame, roots: DataFrame, threshold: float, scope: st
     component has clusters.
     """
     facts = files.select("idx", "folder", "root", F.length("name_info.primary").alias("len"), F.lower("name").alias("folded"))
-    left = scratch.save(roots.join(facts, F.col("node") == F.col("idx")).select("component", "idx", "len", "folded"), "left0")
+    left = scratch.save(roots.join(merged(facts), F.col("node") == F.col("idx")).select("component", "idx", "len", "folded"), "left0")
     out, k = None, 0
     while not left.isEmpty():
         k += 1
         anchors = scratch.save(left.groupBy("component").agg(F.min(F.struct("len", "folded", "idx"))["idx"].alias("anchor")), f"anchors{k}")
-        met = left.join(anchors, "component").filter(F.col("idx") != F.col("anchor")).select("component", "anchor", "idx")
+        met = left.join(merged(anchors), "component").filter(F.col("idx") != F.col("anchor")).select("component", "anchor", "idx")
         if checked(scope) != "all":
             places = facts.select("idx", "folder", "root")
             a, b = places.alias("l"), places.alias("r")
-            met = met.join(a, F.col("anchor") == F.col("l.idx")).join(b, met["idx"] == F.col("r.idx")).filter(pair_allowed(scope)).select("component", "anchor", met["idx"])
+            met = met.join(merged(a), F.col("anchor") == F.col("l.idx")).join(merged(b), met["idx"] == F.col("r.idx")).filter(pair_allowed(scope)).select("component", "anchor", met["idx"])
         taken = scored(met, files, "anchor", "idx").filter(F.col("score") >= threshold)
         taken = scratch.save(taken.select("component", "anchor", "idx", "score", "reason"), f"taken{k}")
         alone = taken.select("component").distinct()
-        own = anchors.join(alone, "component", "left_semi").select("component", "anchor", F.col("anchor").alias("idx"), F.lit(None).cast("double").alias("score"), F.lit(None).cast("string").alias("reason"))
+        own = anchors.join(merged(alone), "component", "left_semi").select("component", "anchor", F.col("anchor").alias("idx"), F.lit(None).cast("double").alias("score"), F.lit(None).cast("string").alias("reason"))
         both = taken.unionByName(own)
         out = both if out is None else out.unionByName(both)
         gone = taken.select("idx").unionByName(anchors.select(F.col("anchor").alias("idx")))
-        left = scratch.save(left.join(gone, "idx", "left_anti"), f"left{k}")
+        left = scratch.save(left.join(merged(gone), "idx", "left_anti"), f"left{k}")
         scratch.drop(f"left{k - 1}")
     if out is None:
         empty = "anchor long, idx long, score double, reason string"

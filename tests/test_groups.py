@@ -125,6 +125,6 @@ def broadcasts(spark, monkeypatch, name):
 BOUNDED = {"_p", "p"}
 
 
-@pytest.mark.parametrize("name", ["sorted_neighbourhood", "candidate_pairs_capped", "pair_veto_scores", "name_components", "bigram_jaccard", "pair_similarity"])
+@pytest.mark.parametrize("name", ["sorted_neighbourhood", "candidate_pairs_capped", "pair_veto_scores", "name_components", "bigram_jaccard", "pair_similarity", "anchor_split_groups"])
 def test_broadcasts_no_table_that_grows(spark, monkeypatch, name):
     assert broadcasts(spark, monkeypatch, name) <= BOUNDED
