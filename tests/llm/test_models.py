@@ -157,3 +157,65 @@ def test_repeated_rows_are_learnt_from_once(spark):
         module.fit = fit
     # rows that repeat count each where rows are chosen, so they may take the place of others, but each is learnt from once
     assert seen[toxicity.__name__] == 40 and 2 <= seen[language.__name__] <= 40
+
+
+def test_every_labelled_row_is_learnt_from(spark, monkeypatch):
+    """Rows beyond 2,000 of a label, and long texts."""
+    rows = [(k, f"bad evil word {k}" if k % 2 else f"good kind word {k}") for k in range(4200)]
+    rows += [(5000 + k, ("curse " if k % 2 else "bless ") * 4000) for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[0] % 2) for r in rows], "doc_id long, toxic int")
+    seen, fit = [], toxicity.fit
+    monkeypatch.setattr(toxicity, "fit", lambda data, *y: seen.append(len(data)) or fit(data, *y, epochs=2))
+    model = toxicity.train(docs, labels)
+    assert seen == [len(rows)]
+    curse, bless = toxicity.Scorer(model).scores(["curse curse", "bless bless"])
+    assert curse >= toxicity.CUT > bless
+    words = [h & (toxicity.BUCKETS - 1) for w in ("curse", "bless") for h in toxicity.features(w)]
+    assert (model.embedding[words] != toxicity.new_model().embedding[words]).any(1).all()
+
+
+def test_blocks_in_a_table_are_fitted_as_those_on_the_driver(spark, monkeypatch):
+    docs, labels = spark.read.parquet(f"{LARGE}/documents.parquet"), spark.read.parquet(f"{LARGE}/labels.parquet").filter("doc_id % 9 = 0")
+    monkeypatch.setattr(toxicity, "BLOCK_ROWS", 64)
+    models, fit = [], toxicity.fit
+
+    def both(data):
+        assert isinstance(data, toxicity.There)
+        blocks = [toxicity.Block.of(r.asDict()) for r in data.table.collect()]
+        assert len(blocks) > 4 and sum(len(b.y) for b in blocks) == len(data) == docs.join(labels, "doc_id").count()
+        models.extend(fit(d, epochs=2) for d in (data, toxicity.Here(blocks[::-1])))
+
+    monkeypatch.setattr(toxicity, "fit", both)
+    toxicity.train(docs, labels)
+    there, here = models
+    for name in ("embedding", "bias", "output", "languages"):
+        assert (getattr(there, name) == getattr(here, name)).all()
+    assert there.thresholds == here.thresholds and all((a == b).all() for a, b in zip(there.filters, here.filters, strict=True))
+    assert (there.embedding != toxicity.new_model().embedding).any()
+
+
+def test_thresholds_are_the_best_of_all_scores():
+    rng = np.random.default_rng(2)
+    for _ in range(20):
+        y = rng.integers(0, 2, 60)
+        y[0] = 1
+        p = np.rint(np.clip(0.3 * y + 0.7 * rng.random(60), 0.03, 0.97) * toxicity.STEPS).astype(int)
+        counts = np.zeros((toxicity.STEPS + 1, 2), int)
+        np.add.at(counts, (p, y), 1)
+        t = toxicity.best_threshold(counts[:, 1], counts.sum(1))
+        f1 = lambda t: 2 * ((p / toxicity.STEPS >= t) & (y == 1)).sum() / ((p / toxicity.STEPS >= t).sum() + y.sum())  # noqa: B023, E731
+        assert np.isclose(f1(t), max(f1(x / toxicity.STEPS) for x in p))
+        none = toxicity.thresholds({0: counts * [1, 0]})
+        assert toxicity.thresholds({0: counts, -1: counts * 0}) == {-1: t, 0: t} and none == {-1: toxicity.CUT}
+
+
+def test_gradients_of_a_long_text_in_pieces(monkeypatch):
+    model, rng = toxicity.new_model(3), np.random.default_rng(0)
+    docs = [rng.integers(0, 40, n) for n in (5, 1, 90, 0, 2, 30)]
+    lists = toxicity.Lists.of([rng.integers(0, 64, 3) for _ in range(40)])
+    whole = toxicity.forward(model, docs, lists)
+    for size in (1, 4, 7):
+        monkeypatch.setattr(toxicity, "AT_ONCE", size)
+        parts = toxicity.forward(model, docs, lists)
+        assert (parts[3] == whole[3]).all() and np.allclose(parts[4], whole[4], atol=1e-6)
