@@ -219,3 +219,50 @@ def test_gradients_of_a_long_text_in_pieces(monkeypatch):
         monkeypatch.setattr(toxicity, "AT_ONCE", size)
         parts = toxicity.forward(model, docs, lists)
         assert (parts[3] == whole[3]).all() and np.allclose(parts[4], whole[4], atol=1e-6)
+
+
+def test_texts_are_shuffled_once_and_only_those_learnt_from(spark, monkeypatch):
+    """Rows that repeat, ids with several texts, and a labelled text in a fifth of the rows; bytes as Spark counts them."""
+    rng = np.random.default_rng(4)
+    rows = [(k, rng.bytes(1000).hex()) for k in range(3000)]
+    rows += rows[:50] * 3 + [(7, "another"), (7, None), (None, "no id")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 10 == 0)) for k in range(0, 3000, 5)] + [(7, 1), (7, 0), (9000, 1)], "doc_id long, toxic int")
+    core = spark.sparkContext._jsc.sc()
+
+    def shuffled():
+        core.listenerBus().waitUntilEmpty(30_000)
+        gateway = spark.sparkContext._gateway
+        stages = core.statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+        return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+    blocks = []
+    monkeypatch.setattr(toxicity, "BLOCK_ROWS", 64)
+    monkeypatch.setattr(toxicity, "fit", lambda data: blocks.extend(r.asDict() for r in data.table.collect()) or blocks.append((len(data), data.hits)))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        was = shuffled()
+        toxicity.train(docs, labels)
+        wrote = shuffled() - was
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    toxic = [(k, y) for k, y in [(k, int(k % 10 == 0)) for k in range(0, 3000, 5)] + [(7, 1), (7, 0)]]
+    texts = {(k, t or "") for k, t in rows}
+    learnt = sorted((y, t) for k, y in toxic for i, t in texts if i == k)
+    assert blocks.pop() == (len(learnt), sum(y for y, _ in learnt))
+    packed = [toxicity.Block.of(b) for b in blocks]
+    words = {y: sum(int(b.docs.sizes[b.y == y].sum()) for b in packed) for y in (0, 1)}
+    assert words == {y: sum(len(toxicity.WORDS.findall(t)) for z, t in learnt if z == y) for y in (0, 1)}
+    assert len(packed) > 5 and max(len(b.y) for b in packed) < 2 * 64
+    # random digits don't pack; twice, or with all others, it would be over two times what is learnt from
+    assert wrote < 1.5 * sum(len(t) for _, t in learnt)
+
+
+def test_words_hashed_together_are_hashed_as_one_by_one():
+    rng = np.random.default_rng(0)
+    words = ["", "a", "abc", "abcd", "abcdefgh", "abcdefghi", "É", "日本語", "é" * 40, "x" * 32, "x" * 33, "x" * 500]
+    words += ["".join(chr(c) for c in rng.choice([97, 98, 99, 95, 48, 233, 26085, 128512], rng.integers(0, 12))) for _ in range(500)]
+    for some in (words, words[:1], words[6:8], []):
+        for one, many in ((toxicity.grams, toxicity.grams_of), (toxicity.features, toxicity.features_of)):
+            got, lists = many(some), [one(w) for w in some]
+            assert got.sizes.tolist() == [*map(len, lists)] and got.flat.tolist() == [x for found in lists for x in found]
