@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from dupforge.operators import blocking, scoring, works
+from dupforge.operators import blocking, clusters, scopes, scoring, works
 from dupforge.scratch import Scratch
 
 from .test_groups import files
@@ -79,3 +79,47 @@ def test_alike_pairs_lose_none(spark, near):
     assert whole == {p for p in candidates(fs, near) if ids.issuperset(p)} == meet(False, 512)
     above = lambda p: {x for x, (s, _) in scores(spark, fs, p | {x[::-1] for x in p}).items() if s > 0}
     assert len(some) < len(whole) and above(some) == above(whole)
+
+
+def test_groups_hold_what_only_large_blocks_share(spark):
+    other = ["".join(x) for x in itertools.product("jkqwxyz", repeat=3)]
+    names = ["Aaaaaaaa Bbbbbbbb Cccccccc.mkv", *(f"Aaaaaaaa Bbbbbbbb Cccccccc {x}.mkv" for x in other), "Cccccccc Bbbbbbbb Aaaaaaaa.mkv"]
+    _, members = clusters.name_groups(files(spark, names))
+    assert {tuple(r) for r in members.filter("idx in (0, 344)").collect()} == {(0, 0), (0, 344)}
+
+
+def groups_by_hand(spark, fs, threshold, scope):
+    """group: its members, confidence and reason, by all pairs of files."""
+    rows = {r["idx"]: r for r in fs.select("idx", "name", "folder", "root", F.length("name_info.primary").alias("n")).collect()}
+    of = scores(spark, fs, set(itertools.permutations(rows, 2)))
+    a, b = (lambda i, j: rows[i]["folder"] == rows[j]["folder"]), (lambda i, j: rows[i]["root"] == rows[j]["root"])
+    allowed = {"all": lambda i, j: True, "same_folder": a, "different_folder": lambda i, j: not a(i, j), "different_root": lambda i, j: not b(i, j)}[scope]
+    root = {i: i for i in rows}
+    for i, j in candidates(fs):
+        if allowed(i, j) and of[i, j][0] >= threshold and root[i] != root[j]:
+            gone, to = root[i], root[j]
+            root = {k: to if r == gone else r for k, r in root.items()}
+    out = {}
+    for r in {*root.values()}:
+        left = {k for k in rows if root[k] == r}
+        while left:
+            anchor = min(left, key=lambda k: (rows[k]["n"], rows[k]["name"].lower(), k))
+            taken = sorted(k for k in left if k != anchor and allowed(anchor, k) and of[anchor, k][0] >= threshold)
+            left -= {anchor, *taken}
+            if taken:
+                out[anchor] = [anchor, *taken], min(of[anchor, k][0] for k in taken), min((of[anchor, k][1] for k in taken), key=len)
+    return out
+
+
+@pytest.mark.parametrize("scope", scopes.SCOPES)
+def test_groups_are_as_by_all_pairs(spark, scope):
+    names, rnd = odd_names(5, 90), random.Random(6)
+    places = [rnd.choice(["/a/x", "/a/y", "/b/x", "/b/y"]) for _ in names]
+    fs = files(spark, names, places, [p[:2] for p in places]).localCheckpoint()
+    groups, members = clusters.name_groups(fs, 0.8, scope)
+    of = {}
+    for r in members.collect():
+        of.setdefault(r["group"], set()).add(r["idx"])
+    got = {r["group"]: (of[r["group"]], r["confidence"], r["reason"]) for r in groups.collect()}
+    want = {g: ({*m}, c, r) for g, (m, c, r) in groups_by_hand(spark, fs, 0.8, scope).items()}
+    assert len(want) > 3 and got == want and {*of} == {*got}
