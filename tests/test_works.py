@@ -123,3 +123,26 @@ def test_groups_are_as_by_all_pairs(spark, scope):
     got = {r["group"]: (of[r["group"]], r["confidence"], r["reason"]) for r in groups.collect()}
     want = {g: ({*m}, c, r) for g, (m, c, r) in groups_by_hand(spark, fs, 0.8, scope).items()}
     assert len(want) > 3 and got == want and {*of} == {*got}
+
+
+def written(spark, monkeypatch, run):
+    """The most rows in a table that run writes on its way or returns."""
+    counts, save = [0], Scratch.save
+
+    def counted(self, df, name):
+        out = save(self, df, name)
+        counts.append(out.count())
+        return out
+
+    monkeypatch.setattr(Scratch, "save", counted)
+    return max(run().count(), *counts)
+
+
+def test_groups_of_copies_take_no_pairs_of_files(spark, monkeypatch):
+    fs = files(spark, ["Same Long Film.mkv"] * 400 + ["Same Long Fiml.mkv"] * 400).localCheckpoint()
+    assert written(spark, monkeypatch, lambda: clusters.name_groups(fs)[1]) == 800
+
+
+def test_similarity_of_copies_takes_no_pairs_of_files(spark, monkeypatch):
+    fs = files(spark, ["Same Long Film.mkv"] * 400 + ["Same Long Fiml.mkv"] * 400).localCheckpoint()
+    assert written(spark, monkeypatch, lambda: works.similarity(fs)) == 800
